@@ -55,7 +55,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/corpusmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
+
+
+def done_with(df: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    discard(df.sparkSession, df.written_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, simhash
+from corpusmill.llm import ctw, packing, simhash
 from corpusmill.llm.common import table
 
 
@@ -14,12 +14,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(table(spark, sf_dir, "documents"))
 
 
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
+    "op7_context_tree_weighting": op7_context_tree_weighting,
     "op9_harmonic_packing": op9_harmonic_packing,
 }
 
