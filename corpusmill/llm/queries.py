@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ctw, packing, simhash
+from corpusmill.llm import ctw, langid, licenses, packing, simhash
 from corpusmill.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -23,7 +31,9 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op5_simhash": op5_simhash,
+    "op6_hyperdimensional_langid": op6_hyperdimensional_langid,
     "op7_context_tree_weighting": op7_context_tree_weighting,
     "op9_harmonic_packing": op9_harmonic_packing,
 }
