@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ctw, langid, licenses, packing, simhash
+from corpusmill.llm import ctw, decontaminate, langid, licenses, packing, simhash, toxicity
 from corpusmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,18 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op5_simhash": op5_simhash,
     "op6_hyperdimensional_langid": op6_hyperdimensional_langid,
     "op7_context_tree_weighting": op7_context_tree_weighting,
     "op9_harmonic_packing": op9_harmonic_packing,
+    "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
