@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ctw, decontaminate, langid, licenses, packing, simhash, toxicity
+from corpusmill.llm import ctw, decontaminate, langid, licenses, packing, pii, simhash, toxicity
 from corpusmill.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op8_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_hyperdimensional_langid": op6_hyperdimensional_langid,
     "op7_context_tree_weighting": op7_context_tree_weighting,
+    "op8_bilstm_crf_pii": op8_bilstm_crf_pii,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
 }
