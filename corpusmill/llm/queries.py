@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ctw, decontaminate, langid, licenses, packing, pii, simhash, toxicity
+from corpusmill.llm import ctw, decontaminate, html, langid, licenses, neighbours, packing, pii, simhash, toxicity
 from corpusmill.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.pages_text(table(spark, sf_dir, "pages"))
+
+
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +52,8 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_vantage_point_neighbours": op2_vantage_point_neighbours,
+    "op3_html_layout_text": op3_html_layout_text,
     "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op5_simhash": op5_simhash,
     "op6_hyperdimensional_langid": op6_hyperdimensional_langid,
