@@ -134,25 +134,28 @@ def segment(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: last + 1])), last
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block_mb: float = BLOCK_MB) -> DataFrame:
-    """One row for each document and benchmark item that overlap."""
-    spark = docs.sparkSession
+def blocks_of(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block_mb: float = BLOCK_MB) -> Iterator[Index]:
+    """Indexes over all items, each over at most about ``block_mb`` of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(size / (block_mb * 1e6)) + 1
-    own = F.pmod(F.xxhash64("text"), F.lit(blocks))
+    n = int(size / (block_mb * 1e6)) + 1
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toArrow()
+        yield Index(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), masks)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block_mb: float = BLOCK_MB) -> DataFrame:
+    """One row for each document and benchmark item that overlap."""
     out = None
-    for k in range(blocks):
-        part = items.where(own == k).toArrow()
-        shared = spark.sparkContext.broadcast(Index(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), masks))
+    for index in blocks_of(benchmark, masks, block_mb):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in pieces(batches):
                 rows = [
                     (doc_id, *row)
                     for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True)
-                    for row in index.overlaps(text)
+                    for row in shared.value.overlaps(text)
                 ]
                 if rows:
                     kinds = [pa.int64()] * 6 + [pa.float64()]
@@ -162,3 +165,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         found = texts(docs).mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block_mb: float = BLOCK_MB) -> DataFrame:
+    """The rows of docs (doc_id, text first) that overlap no item; decided where the row is, so nothing is joined."""
+    for index in blocks_of(benchmark, masks, block_mb):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                yield batch.filter(pa.array([not shared.value.overlaps(x) for x in raw(batch.column(1))]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.common import crc_column, doc_crc, pieces, strings, texts
+from corpusmill.llm.common import crc_column, pieces, strings, texts
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 5000
@@ -133,8 +134,15 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     return langs, scaled(totals).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs."""
+def training_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang of the rows to learn from: those that aren't held out."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+    ).where(crc_column() % 4 != 2)
+
+
+def annotate(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
+    """docs (doc_id, text first) with lang_pred and score behind its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +154,13 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
                 cosines = scaled(vectors) @ shared.value.T
                 best = np.where(lettered, cosines.argmax(axis=1), best)
                 score = np.where(lettered, np.clip(cosines.max(axis=1), 0, 1), score).astype(float)
-            held = [doc_crc(x) % 4 == 2 for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            columns = [*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Learn from the rows of docs that aren't held out, predict all."""
-    train = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
-    ).where(crc_column() % 4 != 2)
-    return predict(docs, *fit(train, per_language))
+    """doc_id, held_out, lang_pred, score: learn from the rows of docs that aren't held out, predict all."""
+    found = annotate(texts(docs), *fit(training_rows(docs), per_language))
+    return found.select("doc_id", (crc_column() % 4 == 2).alias("held_out"), "lang_pred", "score")
