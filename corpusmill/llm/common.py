@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.shared import done_with, materialize
+from corpusmill.sources.tables import table
+
+__all__ = ["LOWER", "WORDS", "crc_column", "doc_crc", "done_with", "materialize", "pieces", "raw", "strings", "table", "texts"]
+
 #: bytes.translate table: A-Z to a-z, every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -23,59 +25,11 @@ WORDS = bytes(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no extra column can clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (tests in local mode) gets a folder of its own.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(discard, spark, path)
-    written = spark.read.schema(df.schema).parquet(path)
-    written.written_path = path
-    return written
-
-
-def done_with(df: DataFrame) -> None:
-    """Delete a materialized table that nothing will read again."""
-    discard(df.sparkSession, df.written_path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a written intermediate table; a session that has already ended leaves it to the folder's owner."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the gateway has gone with the session
-        return
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to a few rows, so that derived arrays stay small."""
     for batch in batches:
