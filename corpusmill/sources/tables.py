@@ -46,7 +46,7 @@ def read_artifact(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     """JSON lines (.jsonl), or one JSON document (.json): an array of items or an object that has them under ``items``."""
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     items = F.from_json("value", T.ArrayType(schema))
     nested = F.from_json("value", T.StructType([T.StructField("items", T.ArrayType(schema))]))
     item = F.when(F.ltrim("value").startswith("["), items).otherwise(nested["items"])
@@ -55,7 +55,7 @@ def read_artifact(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """label_id, lang, name of a JSON object id -> language -> name."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string, map<string, string>>")
     by_id = whole.select(F.explode(entries).alias("label_id", "names"))
     return by_id.select("label_id", F.explode("names").alias("lang", "name"))
