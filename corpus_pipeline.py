@@ -35,11 +35,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component, and one row of each doc_id."""
+    """Keep one document of each component, and one row of each doc_id.
+
+    Texts move once, by doc_id, at any size: the ids to keep grow with the input, so they aren't broadcast.
+    """
     docs = _columns(docs)
     found = simhash.near_duplicates(docs).where("doc_id = component_id")
     kept = materialize(found.groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
-    joined = docs.join(kept, "doc_id")
+    joined = docs.join(kept.hint("shuffle_hash"), "doc_id")
     again = joined.where("times > 1").dropDuplicates(["doc_id"])
     return joined.where("times = 1").unionAll(again).select(*COLUMNS)
 
