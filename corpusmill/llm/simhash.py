@@ -11,7 +11,9 @@ partial aggregate):
    bits agree on one block. Each fingerprint goes to its 4 blocks' buckets.
 2. A bucket of more than ``GROUP`` fingerprints is cut again, exactly: its
    members are split by 4 sub-blocks of the remaining bits (48, then 36). What
-   is still larger is processed as pairs of chunks.
+   is still larger is processed as pairs of chunks. Bucket sizes are partial counts,
+   and members of large buckets leave before the rest is dealt out by bucket, so no
+   task gets more than ``GROUP`` of one.
 3. Within a bucket, fingerprints are sorted by Gray rank and a tree is built
    whose nodes hold the bits on which all members agree; children keep only
    the bits that their parent doesn't hold. A search adds up differences from
@@ -33,7 +35,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import LOWER, materialize, pieces, raw, texts
@@ -220,12 +222,15 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     rows = nodes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
     found = []
     for bits in (64, 48, 36):
-        counted = _split(rows, bits).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-        fit = counted.where(F.col("n").between(2, group))
-        found.append(fit.select("key", "fp").sortWithinPartitions("key").mapInArrow(_search, "a long, b long"))
-        rows = materialize(counted.where(F.col("n") > group).select("fp", "key", "rest", "n"), f"simhash-large-{bits}")
-        if rows.isEmpty():
+        blocks = _split(rows, bits)
+        sizes = blocks.groupBy("key").agg(F.count("*").alias("n"))
+        large = materialize(sizes.where(F.col("n") > group), f"simhash-sizes-{bits}")
+        whole = large.isEmpty()
+        fit = blocks if whole else blocks.join(large, "key", "left_anti")
+        found.append(fit.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_search, "a long, b long"))
+        if whole:
             break
+        rows = materialize(blocks.join(large, "key").select("fp", "key", "rest", "n"), f"simhash-large-{bits}")
     else:
         chunks = F.ceil(F.col("n") / (group // 2)).cast("int")
         own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
