@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
-FACTOR = 2.0
+FACTOR = 1.5
 SHARD = 4096
 LEAF = 64
 BLOCK = 1024
