@@ -123,10 +123,12 @@ class Scanner:
         if b" license " in padded:
             for phrase, label in BASE:
                 at = padded.find(needle := b" " + phrase.encode() + b" ")
+                before, word = 0, 0
                 while at >= 0:
                     base.add(label)
-                    starts.append(padded.count(b" ", 0, at))
-                    at = padded.find(needle, at + 1)
+                    word += padded.count(b" ", before, at)
+                    starts.append(word)
+                    before, at = at, padded.find(needle, at + 1)
         lowered = joined.decode()
         found = self.fuzzy(lowered)
         labels = base | {self.notices[i][0] for i, *_ in found}

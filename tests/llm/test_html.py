@@ -27,7 +27,7 @@ from corpusmill.llm import html as h
         ("<head><title>no</title></head><script>if(a<b)'</p>'</script><style>p{}</style>yes", "yes"),
         ("<details><summary>s</summary>no</details><dialog>no</dialog>", "s"),
         ("<details open><summary>s</summary>yes</details>", "s\nyes"),
-        ("<pre>\n a  b\n  c</pre>", "a  b\n  c"),
+        ("<pre>\n a  b\n  c</pre>", " a  b\n  c"),
         ("a &amp; b &lt;i&gt; &#233; 3 < 4", "a & b <i> é 3 < 4"),
         ("<!-- no --><!doctype html><?x?>yes<!-- open", "yes"),
         ("a</b></p></table>b", "ab"),
