@@ -12,7 +12,7 @@ gathered is one vector of a language and partition. The number of distinct
 labels must be small, since prototypes are broadcast.
 
 A null or empty text, or one without a letter, is ``und`` with score 0. With
-nothing to learn from, every text is. Ties go to the alphabetically first
+nothing to learn from, every text is. A language whose texts have no trigram isn't learned. Ties go to the alphabetically first
 language. A null doc_id counts as the empty text for held_out.
 """
 
@@ -131,7 +131,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     rows = sample.mapInArrow(sums, schema).repartition(8).mapInArrow(merge, schema).collect()
     langs = sorted({r.lang for r in rows})
     totals = np.stack([sum(np.frombuffer(r.total) for r in rows if r.lang == lang) for lang in langs])
-    return langs, scaled(totals).astype(np.float32)
+    learned = np.flatnonzero(totals.any(axis=1))
+    return [langs[i] for i in learned], scaled(totals[learned]).astype(np.float32)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
