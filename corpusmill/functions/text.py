@@ -135,3 +135,38 @@ def half_split(x: str | Column) -> Column:
         F.array_join(F.slice(parts, F.lit(1), middle), " "),
         F.array_join(F.slice(parts, middle + 1, F.greatest(F.lit(0), F.size(parts) - middle)), " "),
     )
+
+
+def relative_time(at: str | Column, now: str | Column) -> Column:
+    """Age in minutes, hours or days; from a week on month and day."""
+    at, now = _col(at), _col(now)
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 60_000_000)
+    hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return (
+        F.when(minutes < 1, "Just now").when(hours < 1, ago(minutes, "m")).when(days < 1, ago(hours, "h")).when(days < 7, ago(days, "d")).otherwise(F.date_format(at, "MMM d"))
+    )
+
+
+def variant_pair(variants: str | Column) -> Column:
+    """The first two variants, trimmed, if both have 10 characters and differ in more than case; else null."""
+    trimmed = F.transform(F.slice(_col(variants), 1, 2), lambda x: F.trim(x))
+    long = F.forall(trimmed, lambda x: F.coalesce(F.length(x) >= 10, F.lit(False)))
+    return F.when((F.size(trimmed) == 2) & long & (F.lower(F.get(trimmed, F.lit(0))) != F.lower(F.get(trimmed, F.lit(1)))), trimmed)
+
+
+def cell_key(strategy: str | Column, retriever: str | Column) -> Column:
+    return F.concat_ws("::", _col(strategy), _col(retriever))
+
+
+def truncated_texts(texts: str | Column, n: int) -> Column:
+    """Texts without the blank ones, each cut to n characters and marked where it is longer."""
+    kept = F.filter(F.transform(_col(texts), lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.transform(kept, lambda x: clipped(x, n, "\n[truncated]"))
+
+
+def reference_texts(texts: str | Column, snippet: str | Column) -> Column:
+    """The reference texts that aren't blank, or else the gold snippet, or else none."""
+    present = lambda x: F.filter(F.transform(x, lambda t: F.trim(t)), lambda t: F.coalesce(t, F.lit("")) != "")
+    own = present(F.coalesce(_col(texts), F.array().cast("array<string>")))
+    return F.when(F.size(own) > 0, own).otherwise(present(F.array(_col(snippet))))

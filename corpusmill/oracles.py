@@ -355,3 +355,38 @@ CASE WHEN n = 0 THEN 'no_contexts' WHEN coalesce(trim(a), '') = '' THEN 'no_answ
 SELECT query_id, round(sum(p) / (sum(hit) + 1e-10), 6) AS context_precision FROM places GROUP BY query_id""",
     "edit_similarity_recall": f"{WITH_LEXICAL},{SIMILARITY} SELECT query_id, round(max(hit)::DOUBLE, 6) AS context_recall FROM near GROUP BY query_id",
 }
+
+_present = "list_filter(list_transform({0}, lambda x: trim(x)), lambda x: x <> '')"
+_answered = "rank = 2 OR rank = query_id % 7"
+
+ORACLE_SQL |= {
+    "last_row_wins": "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+    "unknown_ids": "SELECT vec_id * 3 AS doc_id FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents)",
+    "legal_subset": f"""WITH {LEGAL}, x AS (SELECT doc_id, regexp_extract(id, p, 2) AS year, regexp_extract(id, p, 3) AS type, regexp_extract(id, p, 4) AS code FROM parts)
+SELECT doc_id, year::BIGINT AS year, code, row_number() OVER (ORDER BY year, doc_id) AS rank FROM x WHERE type = 'D' AND code LIKE '%5'""",
+    "revision_counts": f"WITH {LEGAL} SELECT count(*) FILTER (WHERE regexp_extract(id, p, 5) <> '') AS revisions, count(*) FILTER (WHERE regexp_extract(id, p, 1) <> '') AS matched, count(*) AS n FROM parts",
+    "group_size_null_keys": "SELECT CASE WHEN doc_id % 10 <> 0 THEN lang END AS lang, source, count(*) AS count FROM documents GROUP BY ALL ORDER BY count DESC, 1 NULLS FIRST, source NULLS FIRST LIMIT 40",
+    "kept_chunks": f"{WITH_CHUNKS} SELECT doc_id, pos FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "unused_references": f"WITH {QUERIES},{REFERENCE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT reference FROM gold WHERE reference IS NOT NULL)",
+    "reference_fill": """SELECT d.doc_id AS id, coalesce(nullif(trim(CASE WHEN d.doc_id % 3 = 0 THEN ' ' WHEN d.doc_id % 3 = 1 THEN d.source END), ''), t.lang) AS reference
+FROM documents d LEFT JOIN documents t ON t.doc_id = d.doc_id AND t.doc_id % 2 = 0""",
+    "list_sets": f"""{WITH_LISTS}, a AS (SELECT query_id, doc_id, pos FROM dense WHERE rank <= 20), b AS (SELECT query_id, doc_id, pos FROM lexical WHERE rank <= 20)
+SELECT query_id, 'both' AS part, count(*) AS n FROM (FROM a INTERSECT FROM b) GROUP BY query_id UNION ALL SELECT query_id, 'either', count(*) FROM (FROM a UNION FROM b) GROUP BY query_id
+UNION ALL SELECT query_id, 'dense_only', count(*) FROM (FROM a EXCEPT FROM b) GROUP BY query_id""",
+    "document_keys": f"""{WITH_CHUNKS} SELECT doc_id, pos, md5(CASE WHEN pos % 2 = 0 THEN left(sha256(doc_id::VARCHAR || '|line_n_merge|' || pos::VARCHAR), 32)
+ELSE doc_id::VARCHAR || '|' || left({normal("text")}, 240) END) AS key FROM chunks""",
+    "relative_times": """WITH t AS (SELECT event_id, ts, floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 60000000)::BIGINT AS m FROM events)
+SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m::VARCHAR || 'm ago' WHEN m < 1440 THEN (m // 60)::VARCHAR || 'h ago' WHEN m < 10080 THEN (m // 1440)::VARCHAR || 'd ago' ELSE strftime(ts, '%b %-d') END AS label FROM t""",
+    "stream_tokens": "SELECT conv_id, turn, regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g') || CASE WHEN turn % 3 = 0 THEN '!' ELSE '' END AS plain FROM conversations",
+    "variant_pairs": f"""WITH {QUERIES}, v AS (SELECT query_id, trim(left(question, 15)) AS a, trim(CASE WHEN query_id % 3 = 0 THEN upper(left(question, 15)) WHEN query_id % 3 = 1 THEN substr(question, 16, 15) ELSE 'short' END) AS b FROM queries)
+SELECT query_id, CASE WHEN length(a) >= 10 AND length(b) >= 10 AND lower(a) <> lower(b) THEN a || '|' || b END AS pair FROM v""",
+    "context_texts": f"""WITH {QUERIES}, c AS (SELECT query_id, CASE WHEN query_id % 2 = 0 AND trim(question) <> '' THEN {_present.format("[question]")} ELSE {_present.format("[gold_snippet]")} END AS t FROM queries)
+SELECT query_id, len(t) AS n, md5(array_to_string(list_transform(t, lambda x: CASE WHEN length(x) > 60 THEN left(x, 60) || chr(10) || '[truncated]' ELSE x END), '|')) AS digest FROM c""",
+    "marked_citations": f"{WITH_LEXICAL} SELECT query_id, rank, doc_id, pos, {_answered} AS cited FROM lexical WHERE rank <= 10",
+    "finalized_candidates": f"{WITH_LISTS}, pool AS ({base('hyb_interleave', 50).replace('AS seen,', 'AS seen, -min(seen) AS score,')}) {RANKED.format(padded(reranked('SELECT * FROM pool', 20), [('pool', 50)], 20))}",
+    "rankings_k20": f"{WITH_LISTS} {RANKED.format(retriever('hyb_rrf_k60' + RERANKED, 20))}",
+    "stored_or_live": f"{WITH_LISTS} SELECT query_id, rank, doc_id, pos FROM dense WHERE rank <= 10 AND query_id % 2 = 0 UNION ALL SELECT query_id, rank, doc_id, pos FROM lexical WHERE rank <= 10 AND query_id % 2 <> 0",
+    "rewritten_questions": f"""WITH RECURSIVE {CHUNKS},{QUERIES.replace("queries AS", "asked_first AS")},
+queries AS (SELECT query_id, regexp_replace(question, '^[^ ]+ ', '') AS question, gold_snippet FROM asked_first),{LEXICAL},{DENSE} {RANKED.format(retriever('bm25_k10'))}""",
+    "finished_cells": f"{WITH_HITS} SELECT strategy || '::' || retriever AS cell, count(*) AS n, count(*) = (SELECT count(*) FROM queries) AS done FROM hits GROUP BY ALL",
+}

@@ -40,3 +40,9 @@ def resolve_citations(answers: DataFrame, ranking: DataFrame) -> DataFrame:
     marked = rows.withColumn("used", F.coalesce(F.array_contains("cited", F.col("rank")), F.lit(False)))
     some = marked.groupBy("query_id").agg(F.max("used").alias("some"))
     return marked.join(some, "query_id").where("used or not some").select("query_id", "rank", "doc_id", "pos")
+
+
+def mark_cited(answers: DataFrame, ranking: DataFrame) -> DataFrame:
+    """ranking (query_id, rank, doc_id, pos) with ``cited``: whether the answer names the rank."""
+    rows = ranking.select("query_id", "rank", "doc_id", "pos").join(answers.select("query_id", cited_ranks("answer").alias("_cited")), "query_id", "left")
+    return rows.withColumn("cited", F.coalesce(F.array_contains("_cited", F.col("rank")), F.lit(False))).drop("_cited")

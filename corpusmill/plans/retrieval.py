@@ -151,6 +151,19 @@ def multi_query(variants: DataFrame, queries: DataFrame, chunks: DataFrame, retr
     return fusion.padded(rerank(pool, queries, lists.chunks, k, scorer), [pool], k)
 
 
+def rewritten(questions: DataFrame, chunks: DataFrame, retriever: str, k: int = 20, scorer: Scorer = coverage) -> DataFrame:
+    """A retriever over rewritten questions (query_id, question), which also rerank and pad."""
+    return Lists.of(questions, chunks).run(retriever, k, scorer=scorer)
+
+
+def stored_or_live(queries: DataFrame, stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored rows of the queries that have any, live rows of the others."""
+    have = stored.select("query_id").distinct()
+    kept = stored.join(queries.select("query_id"), "query_id", "left_semi").select(*fusion.KEY, "rank", "score")
+    missing = queries.select("query_id").join(have, "query_id", "left_anti")
+    return kept.unionByName(live.join(missing, "query_id", "left_semi").select(*fusion.KEY, "rank", "score"))
+
+
 def grid(lists: dict[str, Lists], retrievers: list[str], k: int = 10) -> DataFrame:
     """strategy, retriever, query_id, doc_id, pos, rank, score: all cells in one relation."""
     out = None

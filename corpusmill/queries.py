@@ -12,7 +12,7 @@ from corpusmill.operators import chunking, dedup, enrich, evaluate, fusion, grou
 from corpusmill.operators.models import HashingEmbedder, coverage, embed, template_question
 from corpusmill.plans import chat, retrieval
 from corpusmill.sources.shared import materialize
-from corpusmill.sources.tables import benchmark_queries, documents, spread, table
+from corpusmill.sources.tables import benchmark_queries, documents, last_by_key, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -573,3 +573,148 @@ def edit_similarity_precision(spark, d):
 @query
 def edit_similarity_recall(spark, d):
     return scoring.context_recall(*_contexts(spark, d), 0.25)
+
+
+# -- joins, sets and payloads -----------------------------------------------
+
+
+@query
+def last_row_wins(spark, d):
+    return last_by_key(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query
+def unknown_ids(spark, d):
+    asked = table(spark, d, "embeddings").select((F.col("vec_id") * 3).alias("doc_id"))
+    return asked.join(documents(spark, d).select("doc_id"), "doc_id", "left_anti")
+
+
+@query
+def legal_subset(spark, d):
+    rows = QUERIES["legal_ids"](spark, d).where("type = 'D' and code like '%5'")
+    return chunking.global_index(rows.select("doc_id", "year", "code"), "year", "doc_id").select("doc_id", "year", "code", (F.col("idx") + 1).alias("rank"))
+
+
+@query
+def revision_counts(spark, d):
+    return QUERIES["legal_ids"](spark, d).agg(F.count_if("is_revision").alias("revisions"), F.count("sector").alias("matched"), F.count("*").alias("n"))
+
+
+@query
+def group_size_null_keys(spark, d):
+    rows = table(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 10 != 0, F.col("lang")))
+    return enrich.pair_counts(rows, "lang", "source", top=40)
+
+
+@query
+def kept_chunks(spark, d):
+    return chunks_of(spark, d).join(manifest(spark, d), "doc_id", "left_semi").select("doc_id", "pos")
+
+
+@query
+def unused_references(spark, d):
+    used = gold(spark, d).where("reference is not null").select(F.col("reference").alias("doc_id")).distinct()
+    return documents(spark, d).select("doc_id").join(used, "doc_id", "left_anti")
+
+
+@query
+def reference_fill(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).when(F.col("doc_id") % 3 == 1, F.col("source")).alias("reference"))
+    truth = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("reference"))
+    return scoring.with_references(rows, truth).select("id", "reference")
+
+
+@query
+def list_sets(spark, d):
+    """Sizes of union, intersection and difference of each query's dense and lexical top 20."""
+    lists = lists_of(spark, d)
+    own, other = (fusion.head(x, 20).select(*fusion.KEY) for x in (lists.dense, lists.lexical))
+    parts = {"both": own.intersect(other), "either": own.union(other).distinct(), "dense_only": own.subtract(other)}
+    counts = [rows.groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit(name).alias("part"), "n") for name, rows in parts.items()]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query
+def document_keys(spark, d):
+    uid = F.when(F.col("pos") % 2 == 0, F.col("chunk_uid")).otherwise("")
+    return chunks_of(spark, d).select("doc_id", "pos", F.md5(fn.document_key(uid, "doc_id", "text")).alias("key"))
+
+
+@query
+def relative_times(spark, d):
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return table(spark, d, "events").select("event_id", fn.relative_time("ts", now).alias("label"))
+
+
+@query
+def stream_tokens(spark, d):
+    text = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    token = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('[{"type": "text", "text": "'), text, F.lit('"}, {"type": "text", "text": "!"}]')))
+    token = token.when(F.col("turn") % 3 == 1, F.concat(F.lit("[{'type': 'text', 'text': '"), text, F.lit("'}]"))).otherwise(text)
+    return table(spark, d, "conversations").select("conv_id", "turn", fn.block_text(token).alias("plain"))
+
+
+@query
+def variant_pairs(spark, d):
+    first = F.substring("question", 1, 15)
+    second = F.when(F.col("query_id") % 3 == 0, F.upper(first)).when(F.col("query_id") % 3 == 1, F.substring("question", 16, 15)).otherwise("short")
+    pair = fn.variant_pair(F.array(first, second))
+    return benchmark_queries(spark, d).select("query_id", F.array_join(pair, "|").alias("pair"))
+
+
+@query
+def nfkc_lengths(spark, d):
+    return documents(spark, d).select("doc_id", F.length(fn.normalize(fn.nfkc(F.coalesce("text", F.lit(""))))).alias("n"))
+
+
+@query
+def context_texts(spark, d):
+    lists = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("  "), F.col("question"))).otherwise(F.array().cast("array<string>"))
+    found = fn.truncated_texts(fn.reference_texts(lists, "gold_snippet"), 60)
+    return benchmark_queries(spark, d).select("query_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
+
+
+@query
+def marked_citations(spark, d):
+    lists = lists_of(spark, d)
+    answers = lists.queries.select("query_id", F.concat(F.lit("see [2] and ["), (F.col("query_id") % 7).cast("string"), F.lit("]")).alias("answer"))
+    return chat.mark_cited(answers, fusion.head(lists.lexical, K))
+
+
+@query
+def finalized_candidates(spark, d):
+    lists = lists_of(spark, d)
+    return rows_of(lists.finalize(lists.candidates("hyb_interleave", 50), 20))
+
+
+@query
+def rankings_k20(spark, d):
+    return rows_of(lists_of(spark, d).run("hyb_rrf_k60_ce_r50", 20))
+
+
+@query
+def stored_or_live(spark, d):
+    lists = lists_of(spark, d)
+    stored = fusion.head(lists.dense, K).where("query_id % 2 = 0")
+    return rows_of(retrieval.stored_or_live(lists.queries, stored, fusion.head(lists.lexical, K)))
+
+
+@query
+def rewritten_questions(spark, d):
+    """Questions without their first word stand for rewritten ones."""
+    lists = lists_of(spark, d)
+    asked = lists.queries.select("query_id", F.regexp_replace("question", "^[^ ]+ ", "").alias("question"))
+    return rows_of(retrieval.rewritten(asked, lists.chunks, "bm25_k10", K))
+
+
+@query
+def finished_cells(spark, d):
+    cells = grid_of(spark, d)[1].groupBy(fn.cell_key("strategy", "retriever").alias("cell")).agg(F.count("*").alias("n"))
+    n = benchmark_queries(spark, d).agg(F.count("*").alias("expected"))
+    return cells.crossJoin(F.broadcast(n)).select("cell", "n", (F.col("n") == F.col("expected")).alias("done"))
+
+
+@query
+def default_chunks(spark, d):
+    return chunking.chunk(documents(spark, d), [chunking.DEFAULT]).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"))
