@@ -81,6 +81,31 @@ def test_text_functions(spark):
     assert one(fn.passage("t"), t="x") == "passage: x" and one(fn.query("t"), t="x") == "query: x"
 
 
+def test_payload_functions(spark):
+    def one(expression, **values):
+        return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(expression).first()[0]
+
+    texts = F.array(F.lit(" a "), F.lit("  "), F.lit(None).cast("string"), F.lit("abcdef"))
+    assert one(fn.truncated_texts(texts, 3)) == ["a", "abc\n[truncated]"]
+    assert one(fn.reference_texts(texts, F.lit("gold"))) == ["a", "abcdef"]
+    none = F.lit(None).cast("array<string>")
+    assert one(fn.reference_texts(none, F.lit(" gold "))) == ["gold"] and one(fn.reference_texts(none, F.lit(" "))) == []
+    pair = lambda *x: one(fn.variant_pair(F.array(*map(F.lit, x))))
+    assert pair(" the first one", "the second one", "x") == ["the first one", "the second one"]
+    assert pair("the first one", "THE FIRST ONE") is None and pair("the first one", "short") is None and pair("the first one") is None
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    age = lambda t: one(fn.relative_time(F.lit(t).cast("timestamp"), now))
+    assert [age(t) for t in ("2024-01-09 23:59:30", "2024-01-09 23:15:00", "2024-01-09 03:00:00", "2024-01-06 00:00:00", "2024-01-02 00:00:00")] == ["Just now", "45m ago", "21h ago", "4d ago", "Jan 2"]
+    assert one(fn.cell_key("a", "b"), a="x", b="y") == "x::y"
+
+
+def test_stored_or_live(spark):
+    schema = "query_id long, doc_id long, pos int, rank int, score double"
+    stored, live = spark.createDataFrame([(1, 5, 0, 1, 0.5), (9, 5, 0, 1, 0.5)], schema), spark.createDataFrame([(1, 6, 0, 1, 0.1), (2, 7, 0, 1, 0.2)], schema)
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    assert sorted((r.query_id, r.doc_id) for r in retrieval.stored_or_live(queries, stored, live).collect()) == [(1, 5), (2, 7)]
+
+
 def test_legal_ids(spark):
     rows = spark.createDataFrame([("31997R2316",), ("32004R2234R(01)",), ("bad",), (None,)], "id string")
     out = [tuple(r) for r in rows.select(*(c.alias(n) for n, c in fn.legal_id("id").items())).collect()]
