@@ -64,7 +64,7 @@ def bundles(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(x.lower()) + 1 for x in bodies])
     doc = np.repeat(np.arange(len(bodies)), sizes)
     ids = letter_ids()[points]
-    keep = (ids != 0) | np.r_[True, ids[:-1] != 0]
+    keep = (ids != 0) | np.r_[False, ids[:-1] != 0]
     lettered = np.bincount(doc[ids != 0], minlength=len(bodies)) > 0
     ids, doc = ids[keep].astype(np.int64), doc[keep]
     out = np.zeros((len(bodies), DIMENSIONS), np.float32)
