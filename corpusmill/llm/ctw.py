@@ -12,10 +12,11 @@ Counts of byte sequences come from partial counts of each partition, summed by
 a shuffle. The trees below two context bytes lie in one partition each and are
 weighted there; the two top levels are sums over at most 65,280 rows.
 
-The model's size is the same for any corpus, which allows the broadcast: each
-depth from 2 has a table of ``2**SLOT_BITS`` slots of 4 bytes (check byte, weight,
-estimate). All nodes are counted; where two share a slot, the one seen more
-often keeps it, and the other is treated as a node never seen.
+All counted nodes are used. Training counts of byte sequences stay in a written table and
+are never collected; only depths 0 and 1 are broadcast. Documents are read in chunks of about
+``CHUNK_MB`` of text, and the distinct byte sequences of each chunk go by a shuffle to the
+partition that holds their subtree, which answers with their log probabilities; these go to
+the chunk's texts by another shuffle. What a partition holds has a bound set from the counted sequences.
 
 The baseline needs the training count of every token. The most frequent
 tokens (``HEAD`` at most, each of at most ``HEAD_BYTES`` bytes) are broadcast;
@@ -32,6 +33,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,11 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import LOWER, doc_crc, done_with, materialize, pieces, raw, texts
 
 DEPTH = 5
+#: Slots of the cache that is before a lookup; what it doesn't hold is looked up.
 SLOT_BITS = 22
-BLOB_BITS = 16
+CHUNK_MB = 32
+#: Distinct training sequences in a partition of the model, about.
+PART = 300_000
 HEAD = 131_072
 HEAD_BYTES = 64
 #: Distinct tokens that a worker counts before it hands them on.
@@ -157,26 +162,6 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma_half(zeros) + log_gamma_half(ones) - log_gamma(zeros + ones) - math.log(math.pi)
 
 
-def mix(keys: np.ndarray) -> np.ndarray:
-    keys = keys ^ (keys >> np.uint64(29))
-    keys = keys * np.uint64(0xBF58476D1CE4E5B9)
-    keys = keys ^ (keys >> np.uint64(32))
-    return keys * np.uint64(0x9E3779B97F4A7C15)
-
-
-def places(depth: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, check byte from 1) of nodes; a key is context << 8 | prefix, the prefix with a leading one."""
-    x = mix(keys.astype(np.uint64) | np.uint64(depth << 56))
-    return (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (1 + (x >> np.uint64(20)) % np.uint64(255)).astype(np.uint32)
-
-
-def packed(check: np.ndarray, weight: np.ndarray, kt: np.ndarray) -> np.ndarray:
-    """One uint32: check byte, weight in 255ths, estimate in 65536ths."""
-    w = np.rint(weight * 255).astype(np.uint32)
-    p = np.minimum(kt * 65536, 65535).astype(np.uint32)
-    return (check << np.uint32(24)) | (w << np.uint32(16)) | p
-
-
 def nodes_of(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, zeros, ones) of the nodes with ``depth`` context bytes, keys sorted."""
     byte = (codes & np.uint64(255)).astype(np.int64)
@@ -203,112 +188,65 @@ def child_sums(keys: np.ndarray, below: np.ndarray, values: np.ndarray) -> np.nd
     return np.bincount(np.searchsorted(keys, parents), values, len(keys))
 
 
-NODE_SCHEMA = "blob int, slot int, best long, up int, zeros long, ones long, pw double"
-
-
-def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (code, n) sorted by code, all of the same two nearest bytes in one partition."""
-
-    def built(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        below = None
-        for depth in range(DEPTH, 1, -1):
-            keys, zeros, ones = nodes_of(codes, counts, depth)
-            pw, own, kt = weighted(zeros, ones, None if below is None else child_sums(keys, *below))
-            below = (keys, pw)
-            slots, check = places(depth, keys)
-            n = np.minimum(zeros + ones, 1 << 30).astype(np.int64)
-            columns = [
-                ((depth << (SLOT_BITS - BLOB_BITS)) + (slots >> BLOB_BITS)).astype(np.int32),
-                (slots & ((1 << BLOB_BITS) - 1)).astype(np.int32),
-                (n << 32) | packed(check, own, kt).astype(np.int64),
-            ]
-            if depth == 2:
-                up = ((keys >> 16) << 8) | (keys & 255)
-                columns += [up.astype(np.int32), zeros.astype(np.int64), ones.astype(np.int64), pw]
-                arrays = [pa.array(x) for x in columns]
-            else:
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64())
-                arrays = [pa.array(x) for x in columns] + [pa.nulls(len(keys), kind) for kind in kinds]
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in NODE_SCHEMA.split(", ")])
-
-    codes, counts = _no_codes()
+def built(codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+    """(depth, sorted keys, zeros, ones, weighted()) of the nodes from DEPTH to 2; all codes of a pair of nearest bytes are here."""
+    below = None
+    for depth in range(DEPTH, 1, -1):
+        keys, zeros, ones = nodes_of(codes, counts, depth)
+        values = weighted(zeros, ones, None if below is None else child_sums(keys, *below))
+        below = (keys, values[0])
+        yield depth, keys, zeros, ones, values
+
+
+def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+TOP_SCHEMA = "up int, zeros long, ones long, pw double"
+
+
+def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of depth 2 from rows (code, n) sorted by code, all of the same two nearest bytes in one partition."""
+
+    def top(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        *_, (_, keys, zeros, ones, (pw, _, _)) = built(codes, counts)
+        up = ((keys >> 16) << 8) | (keys & 255)
+        arrays = [pa.array(up.astype(np.int32)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(pw)]
+        return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in TOP_SCHEMA.split(", ")])
+
+    waiting, size = [_no_codes()], 0
     for batch in batches:
-        codes = np.concatenate([codes, batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)])
-        counts = np.concatenate([counts, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(codes) >= 200_000:
+        waiting.append((column(batch, "code").astype(np.uint64), column(batch, "n")))
+        size += batch.num_rows
+        if size >= 200_000:
+            codes, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
             pair = codes >> np.uint64(8 * (DEPTH - 1))
             cut = np.searchsorted(pair, pair[-1])
             if cut:
-                yield from built(codes[:cut], counts[:cut])
-                codes, counts = codes[cut:], counts[cut:]
+                yield top(codes[:cut], counts[:cut])
+            waiting, size = [(codes[cut:], counts[cut:])], len(codes) - cut
+    codes, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
     if len(codes):
-        yield from built(codes, counts)
+        yield top(codes, counts)
 
 
-def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (blob, slot, best) with all of a blob together: its slots as uint32."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        blob, slot, best = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        for b in np.unique(blob):
-            use = blob == b
-            np.maximum.at(held.setdefault(int(b), np.zeros(1 << BLOB_BITS, np.int64)), slot[use], best[use])
-    for b, best in held.items():
-        data = (best & 0xFFFFFFFF).astype("<u4").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["blob", "data"])
-
-
-class Model:
-    """Tables of weights and estimates: direct for depths 0 and 1, hashed from 2."""
-
-    def __init__(self, shallow: list[tuple[np.ndarray, np.ndarray, np.ndarray]], tables: dict[int, np.ndarray]) -> None:
-        self.shallow, self.tables = shallow, tables
-        self.known, self.logs = None, None
-
-    @classmethod
-    def of(cls, up: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, tables: dict[int, np.ndarray]) -> Model:
-        """From depth 1: keys (byte << 8 | prefix), counts, and sums of log P_w of depth 2."""
-        shallow = []
-        for size in (1 << 16, 1 << 8):
-            z, o, b = (np.bincount(up, x, size) for x in (zeros, ones, below))
-            pw, own, kt = weighted(z, o, b)
-            shallow.append((z + o > 0, own, kt))
-            up, zeros, ones, below = np.arange(size) & 255, z, o, np.where(z + o > 0, pw, 0.0)
-        return cls(shallow[::-1], tables)
+class Scorer:
+    """Sums of evaluate(), the log10 probabilities of distinct codes, over texts."""
 
-    def evaluate(self, codes: np.ndarray) -> np.ndarray:
-        """log10 P(byte | bytes before) of distinct codes."""
-        byte = (codes & np.uint64(255)).astype(np.int64)
-        out = np.zeros(len(codes))
-        for level in range(8):
-            prefix = (1 << level) | (byte >> (8 - level))
-            p = np.full(len(codes), 0.5)
-            for depth in range(DEPTH, -1, -1):
-                keys = ((codes >> np.uint64(8 * (DEPTH - depth + 1))).astype(np.int64) << 8) | prefix
-                if depth < 2:
-                    seen, own, kt = (x[keys] for x in self.shallow[depth])
-                else:
-                    slots, check = places(depth, keys)
-                    value = self.tables[depth][slots]
-                    seen = (value >> np.uint32(24)) == check
-                    own = ((value >> np.uint32(16)) & np.uint32(255)) / 255.0
-                    kt = ((value & np.uint32(65535)) + 0.5) / 65536.0
-                p = np.where(seen, own * kt + (1 - own) * p, p)
-            out += np.log10(np.where((byte >> (7 - level)) & 1, p, 1 - p))
-        return out
+    known: np.ndarray | None = None
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """evaluate() through a direct-mapped cache."""
         if self.known is None:
-            self.known, self.logs = np.full(1 << 20, ~np.uint64(0)), np.zeros(1 << 20)
-        at = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+            self.known, self.logs = np.full(1 << SLOT_BITS, ~np.uint64(0)), np.zeros(1 << SLOT_BITS)
+        at = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
         out = self.logs[at]
         missing = np.flatnonzero(self.known[at] != codes)
         if len(missing):
             new, back = np.unique(codes[missing], return_inverse=True)
             found = self.evaluate(new)
             out[missing] = found[back]
-            slots = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+            slots = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
             slots, last = np.unique(slots[::-1], return_index=True)
             self.known[slots], self.logs[slots] = new[::-1][last], found[::-1][last]
         return out
@@ -336,6 +274,102 @@ class Model:
         return out
 
 
+class Model(Scorer):
+    """Weights and estimates: direct for depths 0 and 1, sorted keys from 2. A depth without values has no nodes."""
+
+    def __init__(self, shallow: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keys: dict[int, np.ndarray], values: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        self.shallow, self.keys, self.values = shallow, keys, values or {}
+
+    def evaluate(self, codes: np.ndarray) -> np.ndarray:
+        """log10 P(byte | bytes before) of distinct codes."""
+        byte = (codes & np.uint64(255)).astype(np.int64)
+        out = np.zeros(len(codes))
+        for level in range(8):
+            prefix = (1 << level) | (byte >> (8 - level))
+            p = np.full(len(codes), 0.5)
+            for depth in range(DEPTH, -1, -1):
+                keys = ((codes >> np.uint64(8 * (DEPTH - depth + 1))).astype(np.int64) << 8) | prefix
+                if depth < 2:
+                    seen, own, kt = (x[keys] for x in self.shallow[depth])
+                elif depth in self.values and len(self.keys[depth]):
+                    at = np.minimum(np.searchsorted(self.keys[depth], keys), len(self.keys[depth]) - 1)
+                    seen = self.keys[depth][at] == keys
+                    own, kt = (x[at] for x in self.values[depth])
+                else:
+                    continue
+                p = np.where(seen, own * kt + (1 - own) * p, p)
+            out += np.log10(np.where((byte >> (7 - level)) & 1, p, 1 - p))
+        return out
+
+
+class Answers(Scorer):
+    """Log probabilities of a chunk's codes."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray) -> None:
+        order = np.argsort(codes)
+        self.codes, self.answers = codes[order], logs[order]
+
+    def evaluate(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.codes, codes)
+        if not (self.codes[at] == codes).all():
+            raise ValueError("a code without an answer")
+        return self.answers[at]
+
+
+def shallow_of(up: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Depths 0 and 1 from depth 1: keys (byte << 8 | prefix), counts, and sums of log P_w of depth 2."""
+    shallow = []
+    for size in (1 << 16, 1 << 8):
+        z, o, b = (np.bincount(up, x, size) for x in (zeros, ones, below))
+        pw, own, kt = weighted(z, o, b)
+        shallow.append((z + o > 0, own, kt))
+        up, zeros, ones, below = np.arange(size) & 255, z, o, np.where(z + o > 0, pw, 0.0)
+    return shallow[::-1]
+
+
+class Trained:
+    """The written counts (code, n) of all training sequences, and depths 0 and 1."""
+
+    def __init__(self, grams: DataFrame) -> None:
+        self.grams, self.pair = grams, F.shiftright("code", 8 * (DEPTH - 1))
+        self.parts = max(2 * grams.sparkSession.sparkContext.defaultParallelism, grams.count() // PART + 1)
+        top = grams.repartition(self.parts, self.pair).sortWithinPartitions("code").mapInArrow(tops, TOP_SCHEMA)
+        top = top.groupBy("up").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "pw"))).toArrow()
+        self.shallow = shallow_of(*(top.column(c).to_numpy() for c in ("up", "zeros", "ones", "pw")))
+
+    def answers(self, wanted: DataFrame) -> DataFrame:
+        """(chunk, code, log) for rows (chunk, code)."""
+        shared = wanted.sparkSession.sparkContext.broadcast(self.shallow)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counted, model = [_no_codes()], None
+            for batch in batches:
+                asked = batch.num_rows - batch.column("chunk").null_count
+                if asked < batch.num_rows:  # these are sorted first
+                    part = batch.slice(0, batch.num_rows - asked)
+                    counted.append((column(part, "code").astype(np.uint64), column(part, "n").astype(np.int64)))
+                if not asked:
+                    continue
+                if model is None:
+                    nodes = list(built(*(np.concatenate(x) for x in zip(*counted, strict=True))))
+                    model = Model(shared.value, {d: keys for d, keys, *_ in nodes}, {d: values[1:] for d, _, _, _, values in nodes})
+                    del nodes, counted
+                    counted = []
+                part = batch.slice(batch.num_rows - asked)
+                codes, back = np.unique(column(part, "code").astype(np.uint64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([part.column("chunk"), part.column("code"), pa.array(model.evaluate(codes)[back])], ["chunk", "code", "log"])
+
+        rows = self.grams.select(F.lit(None).cast("long").alias("chunk"), "code", "n").unionAll(wanted.select("chunk", "code", F.lit(None).cast("long").alias("n")))
+        rows = rows.repartition(self.parts, self.pair).sortWithinPartitions(F.col("n").isNull(), "code")
+        return rows.mapInArrow(run, "chunk long, code long, log double")
+
+    def evaluate(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probabilities of distinct codes."""
+        rows = self.grams.sparkSession.createDataFrame([(0, int(x)) for x in codes], "chunk long, code long")
+        found = {r.code: r.log for r in self.answers(rows).collect()}
+        return np.array([found[int(x)] for x in codes])
+
+
 # -- scoring ----------------------------------------------------------------
 
 
@@ -359,39 +393,91 @@ def head_of(counts: DataFrame, head: int = HEAD) -> tuple[int, int, dict[bytes,
     return sum(r.n for r in steps), sum(r.v for r in steps), {bytes(r["token"]): r["n"] for r in rows}
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Model]:
+def train(docs: DataFrame) -> tuple[DataFrame, Trained]:
     """Token counts (token, n) of training documents, and the model."""
     part = materialize(partial_counts(docs), "partial-counts")
     counts = materialize(part.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
-    grams = part.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
-    pair = F.shiftright("code", 8 * (DEPTH - 1))
-    nodes = materialize(grams.repartition(pair).sortWithinPartitions("code").mapInArrow(subtrees, NODE_SCHEMA), "nodes")
+    grams = materialize(part.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "grams")
     done_with(part)
-    top = nodes.where("up is not null").groupBy("up").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "pw"))).toArrow()
-    found = nodes.select("blob", "slot", "best").repartition("blob").mapInArrow(blobs, "blob int, data binary").toArrow()
-    done_with(nodes)
-    tables = {depth: np.zeros(1 << SLOT_BITS, np.uint32) for depth in range(2, DEPTH + 1)}
-    for row in found.to_pylist():
-        depth, at = divmod(row["blob"], 1 << (SLOT_BITS - BLOB_BITS))
-        tables[depth][at << BLOB_BITS : (at + 1) << BLOB_BITS] = np.frombuffer(row["data"], "<u4")
-    return counts, Model.of(*(top.column(c).to_numpy() for c in ("up", "zeros", "ones", "pw")), tables)
+    return counts, Trained(grams)
+
 
+CHUNKED = "chunk long, code long, key long, doc_id long, text binary"
 
-def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
+
+def chunked(docs: DataFrame, chunk_mb: float) -> DataFrame:
+    """Rows (chunk, key, doc_id, text) of documents, and rows (chunk, code) of each chunk's distinct codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = chunk = TaskContext.get().partitionId() << 40
+        names = [x.split()[0] for x in CHUNKED.split(", ")]
+        codes, waiting, size = _no_codes(), [], 0
+
+        def asked() -> pa.RecordBatch:
+            found, n = _merged(codes, waiting)[0], pa.nulls
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found.astype(np.int64)), n(len(found), pa.int64()), n(len(found), pa.int64()), n(len(found), pa.binary())], names)
+
+        for batch in pieces(batches):
+            bodies = raw(batch.column(1))
+            n = len(bodies)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.array(np.arange(key, key + n)), batch.column(0), pa.array(bodies, pa.binary())], names)
+            key += n
+            for text in bodies:
+                for x in contexts(text):
+                    waiting.append(_distinct(x, None) if len(x) >= CHUNK else (x, None))
+                if sum(len(x) for x, _ in waiting) >= CHUNK:
+                    codes, waiting = _merged(codes, waiting), []
+                size += len(text)
+            if size >= chunk_mb * 1e6:
+                yield asked()
+                chunk, codes, waiting, size = key, _no_codes(), [], 0
+        if size:
+            yield asked()
+
+    return texts(docs).mapInArrow(run, CHUNKED)
+
+
+def same_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the chunk changes, and where its answers end and its texts begin."""
+    for batch in batches:
+        chunk, text = column(batch, "chunk"), batch.column("key").is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((chunk[1:] != chunk[:-1]) | (text[1:] != text[:-1])) + 1
+        for a, b in pairwise([0, *edges.tolist(), batch.num_rows]):
+            if b > a:
+                part = batch.slice(a, b - a)
+                yield from pieces([part]) if text[a] else [part]
+
+
+def score(docs: DataFrame, head: int = HEAD, chunk_mb: float = CHUNK_MB) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte: a row for each of docs."""
     spark = docs.sparkSession
     counts, model = train(docs)
     total, distinct, common = head_of(counts, head)
-    shared = spark.sparkContext.broadcast((model, common))
+    shared = spark.sparkContext.broadcast(common)
+    chunks = materialize(chunked(docs, chunk_mb), "chunks")
+    bodies_of = chunks.where("key is not null").select("chunk", "code", F.lit(None).cast("double").alias("log"), "key", "doc_id", "text")
+    answers = model.answers(chunks.where("key is null").select("chunk", "code"))
+    answers = answers.select("chunk", "code", "log", *(F.lit(None).cast(k).alias(c) for c, k in (("key", "long"), ("doc_id", "long"), ("text", "binary"))))
+    parts = max(2 * spark.sparkContext.defaultParallelism, 4 * chunks.agg(F.count_distinct("chunk")).first()[0])
+    together = answers.unionAll(bodies_of).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("key").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common = shared.value
+        common = shared.value
         logs = {token: math.log10(n + 0.5) for token, n in common.items()}
-        key = TaskContext.get().partitionId() << 40
-        for batch in pieces(batches):
+        now, codes, values, model = None, [], [], None
+        for batch in same_chunk(batches):
+            if batch.column("chunk")[0].as_py() != now:
+                now, codes, values, model = batch.column("chunk")[0].as_py(), [], [], None
+            if batch.column("key").null_count:
+                codes.append(column(batch, "code").astype(np.uint64))
+                values.append(column(batch, "log"))
+                continue
+            if model is None:
+                model = Answers(np.concatenate([_no_codes()[0], *codes]), np.concatenate([np.empty(0), *values]))
+                codes, values = [], []
             rows, tokens, times, ends = [], [], [], [0]
-            bodies = raw(batch.column(1))
-            for doc_id, text, log10 in zip(batch.column(0).to_pylist(), bodies, model.scores(bodies), strict=True):
+            bodies = batch.column("text").to_pylist()
+            for key, doc_id, text, log10 in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), bodies, model.scores(bodies), strict=True):
                 own = Counter(text.translate(LOWER).split())
                 own[END] += 1
                 n, known, base = own.total(), 0, 0.0
@@ -404,7 +490,6 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
                         times.append(times_)
                 ends.append(len(tokens))
                 rows.append((key, doc_id, held_out(doc_id), n, known, base, log10, len(text)))
-                key += 1
             tail = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "times"])
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
             columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -412,7 +497,8 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     names = ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail"]
     schema = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, tail array<struct<token: binary, times: long>>"
-    scored = materialize(texts(docs).mapInArrow(run, schema), "scored")
+    scored = materialize(together.mapInArrow(run, schema), "scored")
+    done_with(chunks)
     tail = scored.select("key", F.explode("tail").alias("t")).select("key", "t.token", "t.times")
     tail = tail.join(counts, "token", "left").groupBy("key").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),

@@ -121,3 +121,16 @@ def test_edges(spark):
     rows = ctw.score(docs).collect()
     assert len(rows) == 5 and all(r.score <= 0 for r in rows)
     assert all(b - a >= 0 for a, b in pairwise(sorted(r.n_tokens for r in rows)))
+
+
+def test_no_node_is_lost(spark):
+    """Thousands of random contexts: of hashed tables, some would share a slot."""
+    rng = np.random.default_rng(5)
+    texts = {i: rng.integers(1, 128, 1500).astype(np.uint8).tobytes().decode() for i in range(4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    brute = Brute([t.encode() for i, t in texts.items() if not ctw.held_out(i)])
+    for chunk_mb in (ctw.CHUNK_MB, 0.001):
+        rows = ctw.score(docs, chunk_mb=chunk_mb).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            assert r.score == pytest.approx(brute.score(texts[r.doc_id].encode()), rel=1e-9)
