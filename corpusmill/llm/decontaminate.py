@@ -5,12 +5,12 @@ are hashed at the positions that a fixed mask keeps; the same is done over all
 of each document, and equal hashes join. A mask's ignored positions may hold
 other words, so a passage with some words substituted still shares a hash.
 Each hit is a diagonal (item, document offset); along it the words are
-compared, and the best segment (+1 for an equal word, -2 for another) is an
-overlap if it has ``OVERLAP`` words, or ``SHARE`` of a shorter item's, and
-``SAME`` of them are equal.
+compared, and a segment is an overlap if it has ``OVERLAP`` words, or ``SHARE`` of
+a shorter item's, and ``SAME`` of them are equal. Of a diagonal the segment of the largest sum (+1 for
+an equal word, -2 for another) is told if it is an overlap, or else the longest that is.
 
-Items of fewer than the mask's span are hashed whole; those of fewer than
-``LEAST`` words are not searched, as so few words occur anywhere. The
+Items of which ``SHARE`` is under ``OVERLAP`` words have masks of their own, ``SHORT``: every
+overlap with them shares a hash. Those of fewer than ``LEAST`` words overlap only as a whole and verbatim. The
 benchmark goes to the executors in blocks of at most ``BLOCK_MB`` of text, one pass
 over the documents for each block, so what is broadcast has a fixed bound.
 
@@ -21,7 +21,9 @@ first. Null ids stay null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import WORDS, pieces, raw, texts
 
 MASKS = ("110110010111", "101011100111", "111100110101")
+SHORT = ("11101", "1111")
 OVERLAP = 13
 SHARE = 0.8
 SAME = 0.8
@@ -63,6 +66,11 @@ def seed_hashes(words: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes
 
 
+def least_words(n: int) -> int:
+    """Words that an overlap with an item of n words has at least."""
+    return n if n < LEAST else min(OVERLAP, math.ceil(SHARE * n))
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
@@ -71,13 +79,13 @@ class Index:
         self.ids, self.words = [], []
         for item_id, text in items:
             words = text.translate(WORDS).split()
-            if len(words) >= LEAST:
+            if words:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
-        span = max(map(len, masks))
-        self.masks = {mask: [i for i, w in enumerate(self.words) if len(w) >= span] for mask in masks}
-        for length in sorted({len(w) for w in self.words if len(w) < span}):
-            self.masks["1" * length] = [i for i, w in enumerate(self.words) if len(w) == length]
+        self.masks: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            for mask in ("1" * len(w),) if len(w) < LEAST else SHORT if least_words(len(w)) < OVERLAP else masks:
+                self.masks.setdefault(mask, []).append(i)
         self.seeds = {}
         for mask, those in self.masks.items():
             found = [(i, *seed_hashes(self.words[i], mask)) for i in those]
@@ -112,10 +120,16 @@ class Index:
             item = self.words[i]
             low, high = max(0, -shift), min(len(item), len(words) - shift)
             same = item[low:high] == words[low + shift : high + shift]
+            needed = least_words(len(item))
+            if high - low < needed:
+                continue
             first, last = segment(same)
             n, equal = last - first, int(same[first:last].sum())
-            if equal < SAME * n or n < min(OVERLAP, SHARE * len(item)):
-                continue
+            if equal < SAME * n or n < needed:
+                first, last = longest(same)
+                n, equal = last - first, int(same[first:last].sum())
+                if n < needed:
+                    continue
             row = (n, -(low + first + shift), low + first, equal)
             if i not in best or row > best[i]:
                 best[i] = row
@@ -134,6 +148,15 @@ def segment(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: last + 1])), last
 
 
+def longest(same: np.ndarray) -> tuple[int, int]:
+    """Bounds of the longest segment with ``SAME`` of its words equal, the first of several."""
+    share = Fraction(str(SAME))
+    sums = np.r_[0, np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))]
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    last = int(np.argmax(np.arange(len(sums)) - first))
+    return int(first[last]), last
+
+
 def blocks_of(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block_mb: float = BLOCK_MB) -> Iterator[Index]:
     """Indexes over all items, each over at most about ``block_mb`` of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -74,3 +75,35 @@ def test_operator_blocks_and_edges(spark):
     assert sorted(r.doc_id for r in dc.clean(docs, bench).collect()) == [2, 3, 5]
     assert sorted(r.doc_id for r in dc.clean(docs, bench, block_mb=0.0002).collect()) == [2, 3, 5]
     assert dc.overlaps(docs.where("false"), bench).count() == 0 and dc.overlaps(docs, bench.where("false")).count() == 0
+
+
+def damaged(item, n, times):
+    """Every text with n words of the item of which ``times`` are others, and nothing else of it."""
+    for start in {0, (len(item) - n) // 2, len(item) - n}:
+        for others in itertools.combinations(range(n), times):
+            yield " ".join(["a", "b", *("other" if k in others else w for k, w in enumerate(item[start : start + n])), "c", "d"]).encode()
+
+
+@pytest.mark.parametrize("n", range(8, 16))
+def test_every_overlap_with_a_short_item_is_found(n):
+    item = [f"s{k}" for k in range(n)]
+    index = dc.Index([(1, " ".join(item).encode())])
+    for part in range(-(-4 * n // 5), n + 1):
+        for text in damaged(item, part, part // 5):
+            assert [r[0] for r in index.overlaps(text)] == [1], text
+    assert index.overlaps(" ".join(item[: n // 2]).encode()) == []
+
+
+@pytest.mark.parametrize("n", range(1, 8))
+def test_fewer_words_are_found_verbatim(n):
+    item = [f"s{k}" for k in range(n)]
+    index = dc.Index([(1, " ".join(item).encode()), (2, b" . ")])
+    assert index.overlaps(" ".join(["a", *item, "b"]).encode()) == [(1, 1, 0, n, n, 1.0)]
+    assert index.overlaps(" ".join([*item[:-1], "b"]).encode()) == []
+
+
+@given(st.lists(st.booleans(), min_size=1, max_size=40))
+def test_longest_segment(same):
+    first, last = dc.longest(__import__("numpy").array(same))
+    good = [b - a for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+    assert last - first == max(good, default=0) and 5 * sum(same[first:last]) >= 4 * (last - first)
