@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WORDS, pieces, raw, texts
 
-MASKS = ("110110010111", "101011100111", "111100110101")
+#: Every segment of OVERLAP words or more with SAME of them equal shares a hash of one of these; SHORT does so for short items.
+MASKS = ("111011", "11111")
 SHORT = ("11101", "1111")
 OVERLAP = 13
 SHARE = 0.8

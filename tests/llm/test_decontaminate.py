@@ -107,3 +107,21 @@ def test_longest_segment(same):
     first, last = dc.longest(__import__("numpy").array(same))
     good = [b - a for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
     assert last - first == max(good, default=0) and 5 * sum(same[first:last]) >= 4 * (last - first)
+
+
+@pytest.mark.parametrize("n", [*range(13, 26)])
+def test_masks_are_lossless(n):
+    """A longer segment has one of 13 to 25 words with the same share of equal words."""
+    kept = [sum(1 << at + k for k, x in enumerate(mask) if x == "1") for mask in dc.MASKS for at in range(n - len(mask) + 1)]
+    for others in itertools.combinations(range(n), n // 5):
+        gone = sum(1 << k for k in others)
+        assert any(not gone & x for x in kept), others
+
+
+@pytest.mark.parametrize("n", [13, 15, 16, 20])
+def test_every_overlap_with_a_long_item_is_found(n):
+    item = [f"s{k}" for k in range(n)]
+    whole, part = (dc.Index([(1, " ".join(x).encode())]) for x in (item, [*words(20), *item, *words(20)]))
+    for text in damaged(item, n, n // 5):
+        assert [r[0] for r in whole.overlaps(text)] == [1], text
+        assert [r[0] for r in part.overlaps(text)] == [1], text
