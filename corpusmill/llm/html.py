@@ -1,7 +1,7 @@
 """Layout-aware text of HTML pages.
 
 A tolerant tree builder closes tags as HTML implies (p before blocks, li, dt/dd,
-option, rows and cells, rows made for cells without one), takes script, style
+option, rows and cells, rows made for cells without one, the head before what can't be in it), takes script, style
 and other raw text as such, and never fails. A renderer walks the tree with a stack of
 its own, so that depth is no limit, and writes what a reader would see:
 
@@ -38,6 +38,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
 )
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "legend", "option", "optgroup"}
+#: All that a head can hold; any other start tag or text ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre figure table hr fieldset".split(), 1)
 LISTS = frozenset("ul ol menu dir".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
@@ -107,6 +109,10 @@ class Builder:
                 self.pop()
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag == "head" and (self.open["head"] or self.open["body"]):
+            return
+        if tag not in HEAD:
+            self.end_head()
         if tag in CLOSES_P and self.open["p"]:
             self.close({"p"}, {"table", "td", "th", "button"})
         if tag in IMPLIED:
@@ -119,6 +125,10 @@ class Builder:
         else:
             self.push(node)
 
+    def end_head(self) -> None:
+        if self.stack[-1].tag == "head":
+            self.pop()
+
     def push(self, node: Node) -> None:
         self.stack[-1].children.append(node)
         self.stack.append(node)
@@ -137,6 +147,8 @@ class Builder:
                 return
 
     def text(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self.end_head()
         self.stack[-1].children.append(data)
 
 

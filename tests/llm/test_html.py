@@ -85,3 +85,18 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "<p>a", "x"), (None, "b", "x")], "page_id long, html string, text string")
     assert {(r.page_id, r.text, r.n_chars, r.n_lines) for r in h.pages_text(df).collect()} == {(1, "", 0, 0), (2, "", 0, 0), (2, "a", 1, 1), (None, "b", 1, 1)}
     assert h.pages_text(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<html><head><title>T</title><body><p>Hello",
+        "<head><title>T</title><meta charset=utf-8><style>p{}</style><p>Hello",
+        "<head> <script>x</script> \n Hello",
+        "<head><head><title>T</title><div>Hello</div>",
+        "<head><template><p>no</p></template><link rel=x><html><body>Hello",
+        "<head><title>T</title></head><body><head>Hello",
+    ],
+)
+def test_head_without_end_tag(source):
+    assert h.render(h.parse(source)).strip() == "Hello"
