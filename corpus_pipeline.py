@@ -1,13 +1,13 @@
 """Training corpus in five stages, each reading what the one before it wrote.
 
 1. ``language``: documents without a determinable language go (null, empty or without a letter).
-2. ``near_duplicates``: of each SimHash component the document with the smallest id stays.
+2. ``near_duplicates``: of each SimHash component the document with the smallest id stays (one without an id only if none has one).
 3. ``decontaminate``: documents that overlap a benchmark item go.
 4. ``pii``: personal data in texts is replaced by its kind in brackets; no document goes.
 5. ``pack``: what is left is packed into sequences of 1024 tokens.
 
-Stages 1 to 4 return the columns of documents. Rows without a doc_id go in
-stage 2, where documents are named by it; of rows that share a doc_id one stays. A null lang or
+Stages 1 to 4 return the columns of documents. Documents are rows: those without a doc_id or with
+the doc_id of another are treated like all others. A null lang or
 source stays null. n_chars follows the text where stage 4 changes it.
 """
 
@@ -35,15 +35,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component, and one row of each doc_id.
+    """Keep one row of each component: the smallest doc_id, nulls last, then the smallest hash of the whole row.
 
-    Texts move once, by doc_id, at any size: the ids to keep grow with the input, so they aren't broadcast.
+    Texts move once, by two hashes of the row, at any size: the rows to keep grow with the input, so they aren't broadcast.
     """
     docs = _columns(docs)
-    found = simhash.near_duplicates(docs).where("doc_id = component_id")
-    kept = materialize(found.groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
-    joined = docs.join(kept.hint("shuffle_hash"), "doc_id")
-    again = joined.where("times > 1").dropDuplicates(["doc_id"])
+    nulls = [F.col(c).isNull() for c in COLUMNS]
+    docs = docs.withColumns({"h1": F.xxhash64(*COLUMNS, *nulls), "h2": F.xxhash64(F.lit(1), *nulls, *reversed(COLUMNS))})
+    kept = materialize(simhash.survivors(docs, ("doc_id", "h1", "h2")).select("h1", "h2", "times"), "kept")
+    joined = docs.join(kept.hint("shuffle_hash"), ["h1", "h2"])
+    again = joined.where("times > 1").dropDuplicates(["h1", "h2"])
     return joined.where("times = 1").unionAll(again).select(*COLUMNS)
 
 

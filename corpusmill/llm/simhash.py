@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import LOWER, materialize, pieces, raw, texts
+from corpusmill.llm.common import LOWER, materialize, pieces, raw
 from corpusmill.operators.graph import components
 
 DISTANCE = 3
@@ -64,15 +64,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The whole numbers ``keep``, fp (the 64 bits as a signed long)."""
+    names = [*keep, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fps = np.array([fingerprint(x) for x in raw(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in raw(batch.column(0))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps)], names)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("text").cast("string").alias("text"), *(F.col(c).cast("long").alias(c) for c in keep))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -247,14 +249,25 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     return out.distinct()
 
 
+def rooted(nodes: DataFrame, group: int = GROUP) -> DataFrame:
+    """Distinct fingerprints fp, with the root of their component besides their other columns."""
+    roots = components(links(nodes, group))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def survivors(docs: DataFrame, order: tuple[str, ...], group: int = GROUP) -> DataFrame:
+    """``order`` of the first row of each component, nulls of a column last, and how many rows have the same."""
+    fps = materialize(fingerprints(docs, order), "fingerprints")
+    ranked = F.struct(*(c for name in order for c in (F.col(name).isNull().alias(f"{name}_null"), F.col(name))))
+    nodes = fps.groupBy("fp", *order).agg(F.count("*").alias("times")).groupBy("fp").agg(F.min(F.struct(ranked.alias("row"), "times")).alias("least"))
+    least = rooted(nodes, group).groupBy("root").agg(F.min("least").alias("least"))
+    return least.select(*(F.col(f"least.row.{name}").alias(name) for name in order), "least.times")
+
+
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, fp, component_id: one row for each row of docs."""
     fps = materialize(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes, group))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    named = rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), group)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(least, "root").select("fp", "component_id"), "components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -112,3 +112,27 @@ def test_run(spark, sf):
     out = cp.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+def test_near_duplicates_are_rows(spark, sf):
+    """Rows without a doc_id, or with one that others have, go only as near duplicates."""
+    body = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [
+        (None, body("alone"), "en", "s", 1),
+        (None, body("twice"), "en", "s", 1),
+        (None, body("twice"), "en", "s", 1),
+        (None, body("twice"), None, "s", 1),
+        (7, body("first"), "en", "s", 1),
+        (7, body("second"), "en", "s", 1),
+        (7, body("copied"), "en", "s", 1),
+        (6, body("copied"), "en", "s", 1),
+        (None, body("copied"), "en", "s", 1),
+        (8, body("same"), "en", "s", 1),
+        (8, body("same"), "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(((r.doc_id or 0, r.text) for r in cp.near_duplicates(spark, docs, sf).collect()), key=str)
+    assert found == sorted([(0, body("alone")), (0, body("twice")), (7, body("first")), (7, body("second")), (6, body("copied")), (8, body("same"))], key=str)
+    for _, stage in cp.STAGES[1:]:
+        docs = stage(spark, docs, sf)
+    assert sorted({r.doc_id or 0 for r in docs.collect()}) == [0, 6, 7, 8]
