@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
@@ -575,6 +575,23 @@ def edit_similarity_recall(spark, d):
     return scoring.context_recall(*_contexts(spark, d), 0.25)
 
 
+def _whole_contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Whole texts, for the surveyed metric at its threshold; the two queries above compare prefixes, as their SQL does."""
+    lists = lists_of(spark, sf_dir)
+    contexts = fusion.head(lists.lexical, 5).join(lists.chunks, ["doc_id", "pos"]).select("query_id", "rank", "text")
+    return contexts, benchmark_queries(spark, sf_dir).select("query_id", F.col("gold_snippet").alias("reference_text"))
+
+
+@query
+def edit_similarity_precision_whole(spark, d):
+    return scoring.context_precision(*_whole_contexts(spark, d))
+
+
+@query
+def edit_similarity_recall_whole(spark, d):
+    return scoring.context_recall(*_whole_contexts(spark, d))
+
+
 # -- joins, sets and payloads -----------------------------------------------
 
 
@@ -647,12 +664,21 @@ def relative_times(spark, d):
     return table(spark, d, "events").select("event_id", fn.relative_time("ts", now).alias("label"))
 
 
-@query
-def stream_tokens(spark, d):
-    text = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+def _stream_tokens(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    text = F.regexp_replace(text, "[^A-Za-z ]", "")
     token = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('[{"type": "text", "text": "'), text, F.lit('"}, {"type": "text", "text": "!"}]')))
     token = token.when(F.col("turn") % 3 == 1, F.concat(F.lit("[{'type': 'text', 'text': '"), text, F.lit("'}]"))).otherwise(text)
-    return table(spark, d, "conversations").select("conv_id", "turn", fn.block_text(token).alias("plain"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.block_text(token).alias("plain"))
+
+
+@query
+def stream_tokens(spark, d):
+    return _stream_tokens(spark, d, F.substring("text", 1, 40))
+
+
+@query
+def stream_tokens_whole(spark, d):
+    return _stream_tokens(spark, d, F.col("text"))
 
 
 @query
