@@ -2,29 +2,35 @@
 
 The base patterns give email, ip, card and phone spans. The method reads every
 character of every text in overlapping windows with a bidirectional LSTM;
-linear-chain CRF transitions decode each window, the tags of each window's
-inner part are put together for the whole text, and runs of one tag become
-spans, so a span over a window's border is one span. A decoded span is kept
-only if its characters can be such data (Luhn for cards, digit counts for
-phones, a domain for emails) and it overlaps no base span; it adds forms like
-``name [at] host [dot] org``, phones without a plus, or dotted card numbers.
-
-The network is trained in numpy on the driver, from slices of at most ``SAMPLE``
-documents (taken by a hash of doc_id; the bound keeps the fit the same at any
+linear-chain CRF transitions decode each window, and ``reconciled`` makes one list of
+spans for the whole text out of what the windows say: runs of one kind that
+meet or overlap are one span, whichever windows they are from; a run that a
+window's cut edge ends stays only if the neighbour, which sees beyond that edge, decodes some of
+it too; of spans of different kinds that overlap, those of the largest sum of scores stay.
+
+The bounds of an added span are the network's, moved to the edges of the words they cut. A span is kept if its characters can be
+such data (four numbers up to 255 for an ip, Luhn for cards, digit counts for phones, a domain for
+emails) and it overlaps no base span; it adds forms like ``name [at] host [dot] org``,
+``10[.]0[.]0[.]1``, phones without a plus, or dotted card numbers.
+
+The network is trained in numpy on the driver, from slices of ``SLICE`` characters of at most ``SAMPLE``
+documents (taken by a hash of doc_id; both bounds keep the fit the same at any
 corpus size) with the base patterns' spans and with made-up data written into them
-in many forms, beside numbers that aren't personal data.
+in many forms, beside numbers that aren't personal data. Inference has no such bound.
 
-Windows that can't leave the outside tag, whatever the transitions, skip the
-Viterbi pass; its result would be the same.
+Viterbi runs over the places that a bound doesn't prove to be outside (see ``Tagger.runs``), and a
+window that a task has read before isn't read again; the results are the same.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive.
-Every row is read on its own, so ties and repeated rows need no rule.
+Null and empty texts have no spans, an empty table has no rows. A very long text is read whole, window by window.
+Offsets are code points, ends exclusive. Every row is read on its own, so ties and repeated rows need
+no rule, and columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +43,10 @@ from corpusmill.llm.common import pieces, strings, texts
 KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1
 HIDDEN = 10
-INNER, MARGIN = 256, 24
-BATCH = 1024
+INNER, MARGIN = 1000, 24
+BATCH = 512
+#: Windows whose result a task remembers.
+REMEMBERED = 1 << 16
 SAMPLE = 2000
 SLICE = 1000
 
@@ -94,30 +102,39 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 # -- what a decoded span must look like -------------------------------------
 
 AT = r"\s{0,2}(?:@|\(at\)|\[at\]|\bat\b)\s{0,2}"
-DOT = r"\s{0,2}(?:\.|\(dot\)|\[dot\]|\bdot\b)\s{0,2}"
+DOT = r"\s{0,2}(?:\.|\(\.\)|\[\.\]|\(dot\)|\[dot\]|\bdot\b)\s{0,2}"
 WRITTEN_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
-WRITTEN_CARD = re.compile(r"[0-9]{4}(?:[ ./-]?[0-9]{2,7}){2,4}")
-WRITTEN_PHONE = re.compile(r"(?:00 ?[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4}){1,2}")
+WRITTEN_IP = re.compile(rf"[0-9]+(?:{DOT}[0-9]+){{3}}", re.IGNORECASE)
+WRITTEN_CARD = re.compile(r"[0-9](?:[ ./-]?[0-9])+")
+WRITTEN_PHONE = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])+")
+WRITTEN = (WRITTEN_EMAIL, WRITTEN_IP, WRITTEN_CARD, WRITTEN_PHONE)
 
 
 def plausible(text: str, kind: int, start: int, end: int) -> tuple[int, int] | None:
-    """Bounds of the personal data within a decoded span, if it can be such data."""
-    part = text[max(0, start - 2) : end + 2]
-    pattern = (WRITTEN_EMAIL, None, WRITTEN_CARD, WRITTEN_PHONE)[kind]
-    if pattern is None or len(part) > 120 or not (m := pattern.search(part)):
+    """A decoded span at the edges of its words, if its characters can be such data."""
+    while start > 0 and text[start].isalnum() and text[start - 1].isalnum():
+        start -= 1
+    while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
+    first = "([+" if kind == 3 else ""
+    while start < end and not text[start].isalnum() and text[start] not in first:
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    part = text[start:end]
+    if not WRITTEN[kind].fullmatch(part):
         return None
-    a, b = max(0, start - 2) + m.start(), max(0, start - 2) + m.end()
-    edge = (text[a - 1] if a else " ") + (text[b] if b < len(text) else " ")
-    digits = digits_of(m[0])
-    if kind == 2 and not (12 <= len(digits) <= 19 and luhn(digits)):
+    digits = digits_of(part)
+    if kind == 1 and any(int(x) > 255 for x in re.findall("[0-9]+", part)):
         return None
-    if kind == 3 and not 10 <= len(digits) <= 15:
+    if kind == 2 and not (12 <= len(digits) <= 19 and luhn(digits)):
         return None
-    if kind in (2, 3) and re.search(r"[\w.,:-]", edge.rstrip(".,")):
+    if kind == 3 and not (10 <= len(digits) <= 15 and re.search("[ ().-]", part)):
         return None
-    if 2 * (min(b, end) - max(a, start)) < b - a:
+    # A part of a longer number or name is none of these.
+    if kind and (re.search(r"[0-9][.,:/]$|\w-$|_$", text[max(0, start - 2) : start]) or re.match(r"[.,:/][0-9]|-\w|_", text[end : end + 2])):
         return None
-    return a, b
+    return start, end
 
 
 # -- the network ------------------------------------------------------------
@@ -245,91 +262,226 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+#: A run of one tag in a window: kind, start, end, score, and whether the window's first or last character is in it.
+Run = tuple[int, int, int, float, bool, bool]
+
+
 class Tagger:
-    """float32 inference; arrays are (features, windows), so that each step is a few wide operations."""
+    """float32 inference; arrays are (features, directions, windows), so that each step is a few wide operations.
+
+    Windows are sorted by length and both directions begin at a window's own end, so each step works
+    on the windows that still have characters, and no window is padded.
+    """
 
     def __init__(self, net: Network) -> None:
         h = self.hidden = net.hidden
-        scale = np.r_[np.full(3 * h, 0.5), np.ones(h)]  # a sigmoid is a tanh of half the argument
-        self.rows = [(net.p[f"in_{d}"] * scale).astype(np.float32) for d in "fb"]
-        self.rec = [np.ascontiguousarray((net.p[f"rec_{d}"] * scale).T.astype(np.float32)) for d in "fb"]
-        self.out = [np.ascontiguousarray(net.p["out"][:h].T.astype(np.float32)), np.ascontiguousarray(net.p["out"][h:].T.astype(np.float32))]
-        self.bias = net.p["bias"].astype(np.float32)[:, None]
+        # Negated, as a sigmoid is 1 / (1 + exp(-x)); a tanh is 2 * sigmoid(2 x) - 1. States are kept halved, so what reads them is doubled.
+        scale = np.r_[np.full(3 * h, -1.0), np.full(h, -2.0)]
+        self.rows = np.ascontiguousarray(np.concatenate([net.p[f"in_{d}"] * scale for d in "fb"]).T.astype(np.float32))
+        self.rec = [np.ascontiguousarray((2 * net.p[f"rec_{d}"] * scale).T.astype(np.float32)) for d in "fb"]
+        over = 2 * (net.p["out"][:, 1:] - net.p["out"][:, :1])  # only differences from the outside tag matter
+        self.out = [np.ascontiguousarray(part.T.astype(np.float32)) for part in (over[:h], over[h:])]
+        self.bias = (net.p["bias"][1:] - net.p["bias"][0]).astype(np.float32)
         self.start, self.move = net.p["start"].astype(np.float32), net.p["move"].astype(np.float32)
+        self.seen: dict[bytes, tuple[Run, ...]] = {}
+
+    def emissions(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(time, tags but the outside one, windows): emissions less the outside tag's.
+
+        data: classes as indexes. sizes fall; beyond a window's end the numbers mean nothing.
+        """
+        h, n, steps = self.hidden, len(starts), int(sizes[0])
+        ends = starts + sizes - 1
+        active = np.searchsorted(-sizes, -np.arange(steps), "left")  # windows longer than t
+        em = (np.empty if sizes[-1] == steps else np.zeros)((2, steps, TAGS - 1, n), np.float32)
+        x = np.empty((2, n), np.intp)
+        state, cell = np.zeros((h, 2, n), np.float32), np.zeros((h, 2, n), np.float32)
+        whole, prod, temp = np.empty((4 * h, 2, n), np.float32), np.empty((4 * h, 2, n), np.float32), np.empty((h, 2, n), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                m = int(active[t])
+                np.take(data, starts[:m] + t, out=x[0, :m], mode="clip")
+                np.take(data, ends[:m] - t, out=x[1, :m], mode="clip")
+                x[1, :m] += CLASSES
+                if m == n:
+                    s, c, z, e, p = state, cell, whole, temp, prod
+                    np.take(self.rows, x, axis=1, out=z, mode="clip")
+                else:
+                    s, c, e, p = state[:, :, :m], cell[:, :, :m], temp[:, :, :m], prod[:, :, :m]
+                    z = np.take(self.rows, x[:, :m], axis=1, mode="clip")
+                for d in (0, 1):
+                    np.matmul(self.rec[d], s[:, d], out=p[:, d])
+                z += p
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                forget, into, out, cand = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
+                cand -= 0.5
+                cand *= into
+                c *= forget
+                c += cand  # half the cell
+                np.multiply(c, -4, out=e)
+                np.exp(e, out=e)
+                e += 1
+                np.reciprocal(e, out=e)
+                e -= 0.5
+                np.multiply(e, out, out=s)
+                for d in (0, 1):
+                    np.matmul(self.out[d], s[:, d], out=em[d, t, :, :m])
+        forth, back = em
+        if sizes[-1] == steps:
+            forth += back[::-1]
+        else:
+            forth += np.take_along_axis(back, np.maximum(sizes - 1 - np.arange(steps)[:, None], 0)[:, None, :], axis=0)
+        forth += self.bias[:, None]
+        return forth
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(time, tags, windows) of classes x: (time, windows)."""
-        steps, n = x.shape
-        h = self.hidden
-        out = np.empty((steps, TAGS, n), np.float32)
-        out[:] = self.bias
-        z, temp = np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
-        for d in (0, 1):
-            state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                np.matmul(self.rec[d], state, out=z)
-                z += self.rows[d][x[t]].T
-                np.tanh(z, out=z)
-                gates = z[: 3 * h]
-                gates *= 0.5
-                gates += 0.5
-                cell *= z[:h]
-                np.multiply(z[h : 2 * h], z[3 * h :], out=temp)
-                cell += temp
-                np.tanh(cell, out=state)
-                state *= z[2 * h : 3 * h]
-                out[t] += self.out[d] @ state
-        return out
+    def viterbi(self, em: np.ndarray, sizes: np.ndarray | None = None, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Tags (time, sequences) of the best paths of emissions (time, tags, sequences).
 
-    def windows(self, x: np.ndarray) -> np.ndarray:
-        """Tags (time, windows) of the best paths."""
-        em = self.emissions(x)
-        best = np.zeros(x.shape, np.uint8)
-        inside = max(0.0, float((self.move - self.move[0, 0]).max()), float((self.start - self.start[0]).max()))
-        gain = (em[:, 1:].max(axis=1) - em[:, 0]).max(axis=0) + 2 * inside
-        leave = np.flatnonzero(gain >= 0)
-        if len(leave):
-            best[:, leave] = self.viterbi(em[:, :, leave])
-        return best
-
-    def viterbi(self, em: np.ndarray) -> np.ndarray:
+        sizes fall, and beyond a sequence's end the tag is 0. first and last: whether a sequence begins and ends where its
+        window does; else the outside tag is before and after it.
+        """
         steps, _, n = em.shape
+        sizes = np.full(n, steps) if sizes is None else sizes
+        active = np.searchsorted(-sizes, -np.arange(steps), "left")
         back = np.empty((steps, TAGS, n), np.uint8)
-        score = self.start[:, None] + em[0]
+        score = em[0] + (self.start[:, None] if first is None else np.where(first, self.start[:, None], self.move[0][:, None]))
         for t in range(1, steps):
-            ways = score[:, None, :] + self.move[:, :, None]
-            back[t] = ways.argmax(axis=0)
-            score = ways.max(axis=0) + em[t]
-        out = np.empty((steps, n), np.uint8)
-        out[-1] = score.argmax(axis=0)
-        for t in range(steps - 1, 0, -1):
-            out[t - 1] = back[t, out[t], np.arange(n)]
+            m = int(active[t])
+            ways = score[:, None, :m] + self.move[:, :, None]
+            back[t, :, :m] = ways.argmax(axis=0)
+            score[:, :m] = ways.max(axis=0) + em[t, :, :m]
+        out = np.zeros((steps, n), np.uint8)
+        tag = (score if last is None else score + np.where(last, 0, self.move[:, 0][:, None])).argmax(axis=0)
+        for t in range(steps - 1, -1, -1):
+            m = int(active[t])
+            out[t, :m] = tag[:m]
+            if t:
+                tag[:m] = back[t, tag[:m], np.arange(m)]
         return out
 
-    def tags(self, bodies: list[str]) -> list[np.ndarray]:
-        """A tag for each code point of each text."""
-        parts, counts = [np.full(MARGIN, PAD, np.uint8)], []
-        for body in bodies:
-            x = classes(body)
-            k = -(-len(x) // INNER)
-            counts.append((len(x), k))
-            parts += [x, np.full(k * INNER - len(x) + 2 * MARGIN, PAD, np.uint8)]
-        data = np.concatenate(parts)
-        starts, base = [], 0
-        for _, k in counts:
-            starts.append(base + np.arange(k) * INNER)
-            base += k * INNER + 2 * MARGIN
-        starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
-        inner = np.empty((len(starts), INNER), np.uint8)
-        offsets = np.arange(INNER + 2 * MARGIN)
-        for at in range(0, len(starts), BATCH):
-            x = data[starts[at : at + BATCH, None] + offsets].T.astype(np.intp)
-            inner[at : at + BATCH] = self.windows(np.ascontiguousarray(x))[MARGIN : MARGIN + INNER].T
-        flat, out, row = inner.ravel(), [], 0
-        for n, k in counts:
-            out.append(flat[row * INNER : row * INNER + n])
-            row += k
-        return out
+    def open_places(self, em: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(time, windows): places that the best path may tag; at all others it is proved to be outside.
+
+        A path's score over the all-outside path is the sum over its runs. With the cost of leaving a tag
+        charged in advance, a place adds at most ``r``, whatever its tag and the one before. A place
+        is in no run if every interval around it has a negative sum of r.
+        """
+        steps = len(em)
+        w = self.move - self.move[0, 0]
+        leave = w[1:, 0]
+        most = np.maximum(w[0, 1:] + leave, (w[1:, 1:] - leave[:, None] + leave).max(axis=0))
+        r = (em[:, 0] + most[0]).copy()
+        for k in range(1, TAGS - 1):
+            np.maximum(r, em[:, k] + most[k], out=r)
+        at, column = np.arange(len(sizes)), sizes - 1
+        begin = np.maximum(most, self.start[1:] - self.start[0] + leave)
+        r[0] = (em[0] + begin[:, None]).max(axis=0)
+        # At a window's end a run needn't leave its tag.
+        r[column, at] = np.maximum(r[column, at], (em[column, :, at] + np.maximum(most, begin) - leave).max(axis=1))
+        if sizes[-1] < steps:
+            r[np.arange(steps)[:, None] >= sizes] = -np.inf
+        left, right = r.copy(), r.copy()  # the best sum of an interval that ends, begins here
+        for t in range(1, steps):
+            left[t] += np.maximum(left[t - 1], 0)
+            right[steps - 1 - t] += np.maximum(right[steps - t], 0)
+        left += right
+        left -= np.where(np.isinf(r), 0, r)
+        return left >= -1e-4
+
+    def runs(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[Run, ...]]:
+        """The decoded runs of each window; sizes fall."""
+        em = self.emissions(data, starts, sizes)
+        out: list[list[Run]] = [[] for _ in starts]
+        places = self.open_places(em, sizes).T
+        edges = np.diff(np.pad(places, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        window, begin = np.nonzero(edges == 1)
+        end = np.nonzero(edges == -1)[1]
+        order = np.argsort(begin - end, kind="stable")
+        for at in range(0, len(order), 4 * BATCH):
+            some = order[at : at + 4 * BATCH]
+            w, a, b = window[some], begin[some], end[some]
+            steps = np.minimum(a + np.arange((b - a)[0])[:, None], len(em) - 1)
+            part = np.zeros((len(steps), TAGS, len(some)), np.float32)
+            part[:, 1:] = em[steps, :, w].transpose(0, 2, 1)
+            tags = self.viterbi(part, b - a, a == 0, b == sizes[w])
+            for column in np.flatnonzero(tags.any(axis=0)).tolist():
+                row = tags[: b[column] - a[column], column].astype(np.int64)
+                bounds = np.flatnonzero(np.diff(np.r_[0, row, 0])).tolist()
+                shift, size = int(a[column]), int(sizes[w[column]])
+                for c, d in zip(bounds[:-1], bounds[1:], strict=True):
+                    if tag := int(row[c]):
+                        score = float(part[c:d, tag, column].sum())
+                        out[w[column]].append((tag - 1, c + shift, d + shift, score, c + shift == 0, d + shift == size))
+        return [tuple(x) for x in out]
+
+    def tags(self, bodies: list[str]) -> list[list[tuple[int, int, int]]]:
+        return self.decoded(bodies)
+
+    def decoded(self, bodies: list[str], inner: int = INNER) -> list[list[tuple[int, int, int]]]:
+        """(start, kind, end) of each text's spans, reconciled over its windows."""
+        data = np.concatenate([np.zeros(0, np.uint8), *(classes(x) for x in bodies)])
+        flat = data.tobytes()
+        data = data.astype(np.intp)
+        ends = np.cumsum([len(x) for x in bodies], dtype=np.int64)
+        rows, starts, stops = [], [], []
+        for i, (end, body) in enumerate(zip(ends.tolist(), bodies, strict=True)):
+            first = end - len(body)
+            for at in range(first, end, inner):
+                rows.append(i)
+                starts.append(max(first, at - MARGIN))
+                stops.append(min(end, at + inner + MARGIN))
+        keys = [flat[a:b] for a, b in zip(starts, stops, strict=True)]
+        if len(self.seen) > REMEMBERED:
+            self.seen = {}
+        seen = self.seen
+        new = sorted({key: a for key, a in zip(keys, starts, strict=True) if key not in seen}.items(), key=lambda x: -len(x[0]))
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            found = self.runs(data, np.array([a for _, a in part]), np.array([len(key) for key, _ in part]))
+            seen.update(zip((key for key, _ in part), found, strict=True))
+        own: list[list[tuple[int, Run, bool, bool]]] = [[] for _ in bodies]
+        bounds = np.r_[0, ends].tolist()
+        for w, key in enumerate(keys):
+            for kind, a, b, score, at_start, at_end in seen[key]:
+                i = rows[w]
+                shift = starts[w] - bounds[i]
+                own[i].append((kind, a + shift, b + shift, score, at_start and shift > 0, at_end and stops[w] < bounds[i + 1]))
+        return [reconciled(x) if x else [] for x in own]
+
+
+def reconciled(runs: list[Run]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of a whole text, in order, from the runs of all its windows (places in the text; cut: by an edge within the text).
+
+    Runs of a kind that meet or overlap are united; their score is the largest of them. A run with a cut edge that no
+    other run supports goes: the neighbouring window has read beyond the edge and found nothing. Of
+    overlapping spans of different kinds the set of the largest total score stays, found over all spans at once.
+    """
+    united: list[list] = []  # start, end, kind, score, complete
+    for kind in range(len(KINDS)):
+        last = None
+        for _, a, b, score, cut_start, cut_end in sorted((r for r in runs if r[0] == kind), key=lambda r: (r[1], r[2])):
+            if last is not None and a <= last[1]:
+                last[1], last[3], last[4] = max(last[1], b), max(last[3], score), True
+            else:
+                last = [a, b, kind, score, not (cut_start or cut_end)]
+                united.append(last)
+    spans_ = sorted(((a, b, kind, score) for a, b, kind, score, complete in united if complete), key=lambda x: (x[1], x[0], x[2]))
+    stops = [b for _, b, *_ in spans_]
+    best: list[tuple[float, int, bool]] = [(0.0, 0, False)]
+    for i, (a, _, _, score) in enumerate(spans_):
+        before = bisect_right(stops, a, 0, i)
+        taken = best[before][0] + max(score, 1e-9)
+        best.append((taken, before, True) if taken > best[i][0] else (best[i][0], i, False))
+    out, i = [], len(spans_)
+    while i:
+        _, before, taken = best[i]
+        if taken:
+            a, b, kind, _ = spans_[i - 1]
+            out.append((a, kind, b))
+        i = before
+    return out[::-1]
 
 
 # -- training data ----------------------------------------------------------
@@ -357,7 +509,8 @@ class Maker:
         return local + at + dot.join(host)
 
     def ip(self) -> str:
-        return ".".join(str(x) for x in self.rng.integers(0, 256, 4))
+        dot = self.pick(".", ".", ".", "[.]", "(.)", "[dot]", " dot ", " . ", "(dot)")
+        return dot.join(str(x) for x in self.rng.integers(0, 256, 4))
 
     def card(self) -> str:
         digits = self.pick("4", "51", "37", "6011") + self.number(14)
@@ -425,17 +578,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
 # -- the operator -----------------------------------------------------------
 
 
-def spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def spans(text: str, decoded: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans, and decoded spans that overlap none of them."""
-    if not tags.any():
-        return base
-    out, edges = list(base), np.flatnonzero(np.diff(np.r_[0, tags, 0]))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if tags[a] and (found := plausible(text, int(tags[a]) - 1, int(a), int(b))):
+    out = list(base)
+    for start, kind, end in decoded:
+        if found := plausible(text, kind, start, end):
             start, end = found
             if all(end <= s or start >= e for s, _, e in out):
-                out.append((start, int(tags[a]) - 1, end))
-    return sorted(out)
+                out.append((start, kind, end))
+    return sorted(out) if len(out) > len(base) else base
 
 
 def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
@@ -448,7 +599,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         for batch in pieces(batches):
             bodies = strings(batch.column(1))
             base = [base_spans(x) for x in bodies]
-            every = [spans(*x) for x in zip(bodies, tagger.tags(bodies), base, strict=True)]
+            every = [spans(*x) for x in zip(bodies, tagger.decoded(bodies), base, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
