@@ -4,13 +4,13 @@ A document's ids (with the separating id 0 at its end) are cut into full
 sequences and a remainder. The remainder is cut at reciprocals of the
 capacity, ``capacity // k``, into at most ``CUTS`` pieces. A piece of length
 in (capacity/(k+1), capacity/k] has class k, and a bin of class k holds
-exactly k pieces. Each worker fills its own bins; sequence ids carry the
+exactly k pieces, for every k up to the capacity itself, so a bin of class k is filled to more than k/(k + 1). Each worker fills its own bins; sequence ids carry the
 worker's partition number, so workers need not agree on anything. At its end a
 worker packs the pieces of its unfilled bins together, longest first.
 
-A worker holds one unfilled bin for each class, so its memory doesn't grow with the input.
-Null and empty texts are the single id 0. Repeated rows are packed as often as
-they occur. Tokens of ``<|endoftext|>`` in a text get its id, as the tokenizer
+A worker holds one unfilled bin for each class, a few thousand pieces at most, so its memory doesn't grow with the input.
+Null and empty texts are the single id 0, an empty table has no rows, a very long text is packed whole. Repeated rows are packed as often as
+they occur, ties go by input order, and columns other than doc_id and text are not read. Tokens of ``<|endoftext|>`` in a text get its id, as the tokenizer
 does by default.
 """
 
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from corpusmill.llm.common import pieces, strings, texts
 
 CAPACITY = 1024
-CLASSES = 64
+#: A remainder of at most this many ids isn't cut further.
+SMALL = 16
 CUTS = 3
 
 #: Texts of these characters alone get the same ids from the vocabulary's rank file, several times as fast.
@@ -66,7 +67,8 @@ def token_ids(text: str, slow, fast) -> np.ndarray:
 
 
 def size_class(length: int, capacity: int = CAPACITY) -> int:
-    return min(CLASSES, capacity // length)
+    """How many pieces of this length a bin holds."""
+    return capacity // length
 
 
 def cuts(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -74,7 +76,7 @@ def cuts(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     out = [(at, capacity) for at in range(0, total - capacity + 1, capacity)]
     at, left = len(out) * capacity, total % capacity
     for _ in range(CUTS - 1):
-        if left * CLASSES <= capacity:
+        if left <= SMALL:
             break
         k = -(-capacity // left)
         length = capacity // k
@@ -114,12 +116,13 @@ class Packer:
         return self.close(bin_)
 
     def end(self) -> list[tuple]:
-        """First-fit decreasing over what the unfilled bins hold: at most CLASSES * CLASSES / 2 pieces."""
+        """First-fit decreasing over what the unfilled bins hold, at most a bin's content less a piece for each class."""
         bins: list[tuple[int, list]] = []
         for piece in sorted((x for b in self.open.values() for x in b), key=lambda x: -x[2]):
             for at, (room, held) in enumerate(bins):
                 if piece[2] <= room:
-                    bins[at] = (room - piece[2], [*held, piece])
+                    held.append(piece)
+                    bins[at] = (room - piece[2], held)
                     break
             else:
                 bins.append((self.capacity - piece[2], [piece]))

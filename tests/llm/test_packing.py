@@ -82,7 +82,47 @@ def test_edges(spark):
     assert len(p.pack(twice).collect()) == 3
 
 
-@pytest.mark.parametrize("length", [1, 16, 17, 341, 342, 512, 513, 1024])
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 7, 11, 15, 16, 17, 341, 342, 512, 513, 1024])
 def test_classes_are_reciprocal(length):
     k = p.size_class(length)
-    assert k * length <= p.CAPACITY and (k == p.CLASSES or (k + 1) * length > p.CAPACITY)
+    assert k * length <= p.CAPACITY < (k + 1) * length
+
+
+@pytest.mark.parametrize("length", [1, 3, 5, 7, 11, 13, 16, 20, 40])
+def test_documents_of_one_short_length_leave_little_padding(length):
+    packer, rows = p.Packer(0), []
+    for i in range(32_000):
+        for start, size in p.cuts(length):
+            rows += packer.add((i, start, size, 0, length))
+    rows += packer.end()
+    bins = {r[5] for r in rows}
+    assert sum(r[2] for r in rows) == 32_000 * length
+    assert 1 - 32_000 * length / (p.CAPACITY * len(bins)) < 0.05
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 1024), st.integers(1, 40)), max_size=3000), st.sampled_from([64, 1000, 1024]))
+def test_bins_hold_what_their_class_says(lengths, capacity):
+    """Brute force: while pieces come, each class's k pieces in their order are a bin; the rest fits into few bins at the end."""
+    packer, filled = p.Packer(3, capacity), []
+    lengths = [min(x, capacity) for x in lengths]
+    for i, n in enumerate(lengths):
+        if rows := packer.add((i, 0, n, 0, n)):
+            filled.append([r[0] for r in rows])
+    by_class, want, rest = defaultdict(list), [], set(range(len(lengths)))
+    for i, n in enumerate(lengths):
+        own = by_class[capacity // n]
+        own.append(i)
+        if len(own) == capacity // n:
+            want.append(list(own))
+            rest -= set(own)
+            own.clear()
+    assert filled == want
+    left = packer.end()
+    assert {r[0] for r in left} == rest
+    sizes = defaultdict(int)
+    for r in left:
+        assert r[6] == sizes[r[5]]
+        sizes[r[5]] += r[2]
+    assert all(n <= capacity for n in sizes.values())
+    assert sum(n <= capacity // 2 for n in sizes.values()) <= 1
