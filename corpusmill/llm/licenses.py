@@ -4,12 +4,13 @@ A notice may differ by ``k`` characters, one in ``EDIT_EVERY``. It is cut into
 k + 1 pieces, one of which must occur unchanged (pigeonhole); one Aho-Corasick
 automaton finds the pieces of all notices. Around each hit the regex library
 matches the notice with at most k errors, in its best-match mode, and reports
-the edits.
+the edits. Each hit has a window of its own, so of occurrences that stand side by side all are found, in time
+proportional to the hits; matches that overlap one with fewer edits go.
 
 Text is searched as its words (A-Z lower-cased; letters, digits and bytes from 128)
 with single blanks between them, and spans are mapped back to code points of the
-original text. Null and empty texts have no words and no labels. Every row is
-scanned on its own, so ties and repeated rows need no rule.
+original text. Null and empty texts have no words and no labels, an empty table has no rows, very long texts are
+scanned whole. Every row is scanned on its own, so ties and repeated rows need no rule; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -65,16 +67,25 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
 
 
 def nearest(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Of matches that overlap (sorted by start), those with the fewest edits."""
-    out, group, end = [], [], -1
-    for match in [*matches, (0, 1 << 62, 1 << 62, 0)]:
-        if match[1] >= end and group:
-            least = min(m[3] for m in group)
-            out += [m for m in group if m[3] == least]
-            group = []
-        group.append(match)
-        end = max(end, match[2])
-    return out
+    """Matches (notice, start, end, edits) that overlap none with fewer edits that stays; in order of start."""
+    out: list[tuple[int, int, int, int]] = []
+    starts: list[int] = []  # of the union of what stays, with its ends
+    ends: list[int] = []
+    for _, level in groupby(sorted(matches, key=lambda m: m[3]), key=lambda m: m[3]):
+        free = []
+        for m in level:
+            i = bisect_right(ends, m[1])
+            if i == len(ends) or starts[i] >= m[2]:
+                free.append(m)
+        out += free
+        merged: list[list[int]] = []
+        for a, b in sorted([*zip(starts, ends, strict=True), *((m[1], m[2]) for m in free)]):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        starts, ends = [a for a, _ in merged], [b for _, b in merged]
+    return sorted(out, key=lambda m: m[1:])
 
 
 class Scanner:
@@ -94,25 +105,24 @@ class Scanner:
 
     def fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in a text of words; matches of a notice don't overlap."""
-        windows: dict[int, list[list[int]]] = {}
+        places: set[tuple[int, int]] = set()
         for last, (size, uses) in self.automaton.iter(text) if len(self.automaton) else ():
-            for i, offset in uses:
-                edits, n = self.patterns[i][0], len(self.notices[i][1])
-                start = last + 1 - size - offset
-                low, high = max(0, start - edits), start + n + edits
-                held = windows.setdefault(i, [])
-                if held and low <= held[-1][1]:
-                    held[-1][1] = max(held[-1][1], high)
-                else:
-                    held.append([low, high])
-        out = []
-        for i, held in windows.items():
-            pattern = self.patterns[i][1]
-            for low, high in held:
-                while (m := pattern.search(text, low, min(high, len(text)))) and m.end() > m.start():
-                    out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    low = m.end()
-        return nearest(sorted(out, key=lambda x: x[1:]))
+            places.update((i, last + 1 - size - offset) for i, offset in uses)
+        best: dict[tuple[int, int, int], int] = {}
+        for i, start in places:
+            edits, pattern = self.patterns[i]
+            low, high = max(0, start - edits), min(len(text), start + len(self.notices[i][1]) + edits)
+            if (m := pattern.search(text, low, high)) and m.end() > m.start():
+                best[i, m.start(), m.end()] = sum(m.fuzzy_counts)
+        out, ends = [], {}
+        for (i, start, end), edits in sorted(best.items(), key=lambda x: (x[0][0], x[1], x[0])):
+            own = ends.setdefault(i, ([], []))
+            at = bisect_right(own[1], start)
+            if at == len(own[0]) or own[0][at] >= end:  # matches of a notice don't overlap
+                own[0].insert(at, start)
+                own[1].insert(at, end)
+                out.append((i, start, end, edits))
+        return nearest(out)
 
     def scan(self, text: bytes) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
