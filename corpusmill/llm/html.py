@@ -9,12 +9,15 @@ its own, so that depth is no limit, and writes what a reader would see:
   closed details or dialogs, nor ``visibility:hidden`` unless a child is visible again;
 * blocks on lines of their own, with the larger of two adjoining margins between them;
 * list items with bullets or numbers and hanging indents;
-* table cells aligned in columns, with colspan and rowspan. A table with a cell wider than
-  ``MAX_COLUMN`` characters is laid out cell by cell, as is what it contains, so padding
-  never grows beyond the text times a constant;
+* table cells aligned in columns, with colspan and rowspan. A column is as wide as its widest line that keeps the
+  table's area within ``PADDING`` times its text, so that padding never outgrows the text; a wider line
+  runs on, and the cells to its right follow it after two blanks on that line alone;
+* the texts of buttons and fields, of graphics (``svg``), and what an ``object`` has in its place;
 * white space collapsed, but kept in pre and textarea.
 
-Null and empty pages give an empty text. Each row is rendered on its own.
+Not visible, as pages are taken to run with scripts and media: noscript, and what canvas, audio, video and frames
+have in their place. Null and empty pages give an empty text, an empty table no rows. Very long pages are rendered
+whole. Each row is rendered on its own, so ties and repeated rows need no rule; columns other than page_id and html aren't read.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ from corpusmill.llm.common import pieces, strings
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-NEVER = frozenset("head script style template noscript iframe noembed noframes object svg canvas audio video datalist title map".split())
+NEVER = frozenset("head script style template noscript iframe noembed noframes canvas audio video datalist title map rp defs symbol desc metadata".split())
+#: Fields that show no text.
+TEXTLESS = frozenset("hidden password checkbox radio file image color range".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary svg table text ul".split()
 )
-CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "legend", "option", "optgroup"}
+CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "legend", "option", "optgroup", "svg", "text"}
 #: All that a head can hold; any other start tag or text ends it.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre figure table hr fieldset".split(), 1)
@@ -57,8 +62,10 @@ IMPLIED = {
     "tbody": ({"tr", "td", "th", "caption", *SECTIONS}, {"table"}),
     "tfoot": ({"tr", "td", "th", "caption", *SECTIONS}, {"table"}),
 }
-MAX_COLUMN = 200
-MAX_SPAN = 100
+#: A table's area by its text without blanks.
+PADDING = 16
+#: The largest spans that HTML allows; a rowspan of 0 goes on to the table's end.
+MOST = {"colspan": 1000, "rowspan": 65534}
 
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -264,11 +271,8 @@ class Table:
         self.captions: list[str] = []
 
     def layout(self) -> list[str]:
-        """Aligned lines; cell by cell if a cell is too wide."""
+        """Aligned lines."""
         rows = [row for row in self.rows if row]
-        widest = max((len(x) for row in rows for lines, _, _ in row for x in lines), default=0)
-        if widest > MAX_COLUMN:
-            return self.captions + [x for row in rows for lines, _, _ in row for x in lines]
         grid: list[list[tuple[int, list[str], int]]] = []  # (column, lines, colspan)
         taken: dict[int, int] = {}
         for row in rows:
@@ -282,16 +286,7 @@ class Table:
                 at += across
             grid.append(placed)
             taken = {c: left - 1 for c, left in taken.items() if left > 1}
-        widths: dict[int, int] = {}
-        for placed in grid:
-            for at, lines, across in placed:
-                if across == 1:
-                    widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-        for placed in grid:
-            for at, lines, across in placed:
-                if across > 1:
-                    room = sum(widths.setdefault(c, 0) for c in range(at, at + across)) + 2 * (across - 1)
-                    widths[at + across - 1] += max(0, max(map(len, lines), default=0) - room)
+        widths = self.widths(grid)
         used = sorted(c for c, w in widths.items() if w)
         start, starts = 0, {}
         for c in used:
@@ -304,15 +299,35 @@ class Table:
                 for at, lines, across in placed:
                     if i < len(lines) and lines[i]:
                         column = next((starts[c] for c in range(at, at + across) if c in starts), 0)
-                        line = line.ljust(column) + lines[i]
+                        line = line.ljust(max(column, len(line) + 2 if line else 0)) + lines[i]
                 out.append(line.rstrip())
         return self.captions + out
 
+    @staticmethod
+    def widths(grid: list[list[tuple[int, list[str], int]]]) -> dict[int, int]:
+        """Width by column: of its widest line that isn't too wide for the table's area; a cell across several columns widens the last of them."""
+        sizes: dict[int, set[int]] = {}
+        lines_of, text = sum(max((len(lines) for _, lines, _ in placed), default=0) for placed in grid), 0
+        for placed in grid:
+            for at, lines, across in placed:
+                text += sum(len(x) - x.count(" ") for x in lines)
+                if across == 1:
+                    sizes.setdefault(at, set()).update(map(len, lines))
+        most = PADDING * text // max(1, lines_of * len(sizes))
+        widths = {c: max((w for w in own if w <= most), default=0) or int(any(own)) for c, own in sizes.items()}
+        for placed in grid:
+            for at, lines, across in placed:
+                if across > 1:
+                    room = sum(widths.setdefault(c, 0) for c in range(at, at + across)) + 2 * (across - 1)
+                    wide = max((len(x) for x in lines if len(x) <= most), default=0)
+                    widths[at + across - 1] += max(0, wide - room)
+        return widths
+
 
 def shown(node: Node, visible: bool) -> tuple[bool, bool]:
     """(whether the element is rendered at all, whether its own text is visible)."""
     attrs = node.attributes
-    if node.tag in NEVER or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs) or (node.tag == "input"):
+    if node.tag in NEVER or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
         return False, False
     style = attrs.get("style", "")
     if style:
@@ -323,6 +338,14 @@ def shown(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, visible
 
 
+def field_text(attrs: dict[str, str]) -> str:
+    """What an input shows: its value or else its placeholder; submit and reset have texts of their own."""
+    kind = attrs.get("type", "text").strip().lower()
+    if kind in TEXTLESS:
+        return ""
+    return attrs.get("value") or ({"submit": "Submit", "reset": "Reset", "button": ""}[kind] if kind in ("submit", "reset", "button") else attrs.get("placeholder", ""))
+
+
 def number(text: str | None, default: int) -> int:
     return int(text) if text and text.strip().lstrip("-").isascii() and text.strip().lstrip("-").isdigit() and len(text) < 10 else default
 
@@ -355,6 +378,10 @@ def render(root: Node) -> str:
         if tag == "br":
             canvas.newline()
             continue
+        if tag == "input":
+            if visible and (said := field_text(node.attributes)):
+                canvas.write(f" {said} ")
+            continue
         if tag == "hr":
             canvas.block(1)
             canvas.put_lines(["---"] if visible else [])
@@ -378,7 +405,7 @@ def render(root: Node) -> str:
                 tables[-1].rows.append([])
             canvases.append(canvas)
             canvas = Canvas()
-            across, down = (max(1, min(MAX_SPAN, number(node.attributes.get(x), 1))) for x in ("colspan", "rowspan"))
+            across, down = (max(1, min(MOST[x], number(node.attributes.get(x), 1) or (MOST[x] if x == "rowspan" else 1))) for x in MOST)
 
             def leave(tag=tag, across=across, down=down, kept=lists):
                 nonlocal canvas, lists
@@ -425,6 +452,9 @@ def render(root: Node) -> str:
         elif tag in BLOCKS:
             margin = MARGIN.get(tag, 0)
             canvas.block(margin)
+            if tag == "optgroup" and visible and (said := node.attributes.get("label")):
+                canvas.write(said)
+                canvas.block(0)
 
             def leave(margin=margin):
                 canvas.block(margin)
