@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
 ELLIPSIS = "…"
+#: White space of Unicode, written so that Java and RE2 read it alike (their own classes are ASCII).
+WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _col(x: str | Column) -> Column:
@@ -18,18 +18,27 @@ def _col(x: str | Column) -> Column:
 
 def normalize(x: str | Column) -> Column:
     """Lower case, outer white space gone, inner runs of it one blank."""
-    return F.trim(F.regexp_replace(F.lower(_col(x)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(_col(x)), WHITE, " "))
 
 
 def nfkc(x: str | Column) -> Column:
     """Unicode compatibility composition; Spark has no built-in for it. Made on the driver: workers import this module without a session."""
 
     def compose(values: pd.Series) -> pd.Series:
-        return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+        others = ~values.map(str.isascii, na_action="ignore").fillna(True).astype(bool)  # ASCII is composed already
+        if others.any():
+            values = values.copy()
+            values[others] = values[others].str.normalize("NFKC")
+        return values
 
     return F.pandas_udf(compose, "string")(_col(x))
 
 
+def number(x: str | Column) -> Column:
+    """A whole number, or null where the text is none."""
+    return _col(x).try_cast("long")
+
+
 def tokens(x: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(x)), F.lit(TOKEN), F.lit(0))
 

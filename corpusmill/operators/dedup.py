@@ -56,9 +56,9 @@ def similar_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return cosine.where(F.col("cosine") > threshold)
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, component (smallest id), representative: a row for each document."""
-    pairs = similar_pairs(representatives(docs), threshold)
+def groups(docs: DataFrame, threshold: float = THRESHOLD, pairs: DataFrame | None = None) -> DataFrame:
+    """doc_id, component (smallest id), representative: a row for each document. pairs: those of the representatives, if they are known."""
+    pairs = similar_pairs(representatives(docs), threshold) if pairs is None else pairs
     roots = components(pairs.select("a", "b"))
     members = membership(docs)
     return members.join(roots, members.representative == roots.node, "left").select("doc_id", F.coalesce("root", "representative").alias("component"), "representative")
@@ -84,8 +84,10 @@ def keepers(grouped: DataFrame, newest: Column | str, key: str = "doc_id") -> Da
     return best.select(key, "component")
 
 
-def statistics(grouped: DataFrame) -> DataFrame:
+def statistics(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Documents before and after, groups of several, dropped documents, and pairs of different texts above the threshold."""
     sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
-    return sizes.agg(
+    counts = sizes.agg(
         F.sum("n").alias("before"), F.count("*").alias("after"), F.count_if(F.col("n") > 1).alias("groups"), (F.sum("n") - F.count("*")).alias("dropped")
     )
+    return counts.crossJoin(pairs.agg(F.count("*").alias("pairs")))  # one row by one row

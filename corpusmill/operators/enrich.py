@@ -20,6 +20,16 @@ def resolve_labels(docs: DataFrame, names: DataFrame, lang: str = "en", key: str
     return docs.join(lists, key, "left").withColumn("labels_named", F.coalesce("labels_named", F.array().cast("array<string>")))
 
 
+def in_language(docs: DataFrame, texts: str, lang: str) -> DataFrame:
+    """Rows whose map of texts by language has ``lang``, with its text."""
+    return docs.where(F.map_contains_key(texts, lang)).withColumn("text", F.element_at(texts, lang))
+
+
+def scalar_columns(rows: DataFrame) -> DataFrame:
+    """Without arrays, maps and structs, for stores that keep scalar metadata alone."""
+    return rows.select(*(f"`{c}`" for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct"))))
+
+
 def label_metadata(labels: str = "labels", names: str = "labels_named") -> dict[str, Column]:
     return {"label_ids": F.array_join(labels, ","), "categories": F.array_join(names, ", ")}
 

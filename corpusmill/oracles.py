@@ -1,17 +1,20 @@
 """DuckDB SQL for the registered queries, built from shared common table expressions.
 
 Each text computes its result from the raw tables alone. Queries without an
-entry (recursive splitters, snippet picking, MMR, sentence splits with look-behind) are checked by tests.
+entry (recursive splitters, MMR, sentence splits with look-behind, NFKC) are checked by tests.
 """
 
 from __future__ import annotations
 
+from corpusmill.functions.text import WHITE
+from corpusmill.plans.campaign import PAIRS as CHOSEN
+from corpusmill.plans.campaign import REWRITE, VARIANTS, pairs_text
 from corpusmill.plans.retrieval import BASES, RERANKED
 
 ORACLE_SQL: dict[str, str] = {}
 
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
-NORMAL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(lower({0}), '" + WHITE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))"
 
 
 def tokens(x: str) -> str:
@@ -65,13 +68,15 @@ queries AS (
   SELECT item_id AS query_id, array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:12], ' ') AS question, text AS gold_snippet
   FROM benchmark)"""
 
-LEXICAL = rf"""
+TERMS = rf"""
 toks AS (SELECT doc_id, pos, {tokens("text")} AS ts FROM chunks),
 lengths AS (SELECT doc_id, pos, len(ts) AS dl FROM toks),
 postings AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(ts) AS term FROM toks) GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(dl) AS average FROM lengths),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM postings, corpus GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+
+LEXICAL = rf"""{TERMS},
 asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens("question")}) AS term FROM queries) GROUP BY ALL),
 matched AS (
   SELECT query_id, p.doc_id, p.pos, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / average))), 8) AS score
@@ -239,8 +244,8 @@ SIMILARITY = """
 pairs5 AS (
   SELECT l.query_id, l.rank, x, y FROM (SELECT query_id, doc_id, pos, rank FROM lexical WHERE rank <= 5) l JOIN chunks c USING (doc_id, pos) JOIN queries q USING (query_id),
   LATERAL (SELECT {0} AS x, {1} AS y)),
-near AS (SELECT query_id, rank, CASE WHEN CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END >= 0.25 THEN 1 ELSE 0 END AS hit FROM pairs5)""".format(
-    *(normal(rf"regexp_replace(left({x}, 120), '[^\x20-\x7e]', '?', 'g')") for x in ("c.text", "q.gold_snippet"))
+near AS (SELECT query_id, rank, CASE WHEN CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END >= 0.5 THEN 1 ELSE 0 END AS hit FROM pairs5)""".format(
+    *(normal(rf"regexp_replace({x}, '[^\x20-\x7e]', '?', 'g')") for x in ("c.text", "q.gold_snippet"))
 )
 
 ORACLE_SQL |= {
@@ -291,8 +296,8 @@ SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVE
     "dedup_keepers": f"{GROUPS} SELECT doc_id, component FROM members QUALIFY row_number() OVER (PARTITION BY component ORDER BY coalesce(n_chars, -1) DESC, doc_id) = 1",
     "dup_group_size": f"{GROUPS} SELECT doc_id, component, count(*) OVER (PARTITION BY component) AS group_size FROM members",
     "dup_group_id": f"{GROUPS} SELECT doc_id, dense_rank() OVER (ORDER BY component) - 1 AS group_id FROM members",
-    "dedup_stats": f"{GROUPS} SELECT sum(n)::BIGINT AS before, count(*) AS after, count(*) FILTER (WHERE n > 1) AS groups, (sum(n) - count(*))::BIGINT AS dropped FROM (SELECT component, count(*) AS n FROM members GROUP BY component)",
-    "bm25_terms": f"{WITH_LEXICAL} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "dedup_stats": f"{GROUPS} SELECT sum(n)::BIGINT AS before, count(*) AS after, count(*) FILTER (WHERE n > 1) AS groups, (sum(n) - count(*))::BIGINT AS dropped, (SELECT count(*) FROM pairs) AS pairs FROM (SELECT component, count(*) AS n FROM members GROUP BY component)",
+    "bm25_terms": f"{WITH_CHUNKS},{TERMS} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_top10": f"{WITH_LEXICAL} {SCORED.format('SELECT * FROM lexical WHERE rank <= 10')}",
     "dense_text_top10": f"WITH RECURSIVE {CHUNKS},{QUERIES},{DENSE} {SCORED.format('SELECT * FROM dense WHERE rank <= 10')}",
     "dense_top10": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -377,8 +382,8 @@ UNION ALL SELECT query_id, 'dense_only', count(*) FROM (FROM a EXCEPT FROM b) GR
 ELSE doc_id::VARCHAR || '|' || left({normal("text")}, 240) END) AS key FROM chunks""",
     "relative_times": """WITH t AS (SELECT event_id, ts, floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 60000000)::BIGINT AS m FROM events)
 SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m::VARCHAR || 'm ago' WHEN m < 1440 THEN (m // 60)::VARCHAR || 'h ago' WHEN m < 10080 THEN (m // 1440)::VARCHAR || 'd ago' ELSE strftime(ts, '%b %-d') END AS label FROM t""",
-    "stream_tokens": "SELECT conv_id, turn, regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g') || CASE WHEN turn % 3 = 0 THEN '!' ELSE '' END AS plain FROM conversations",
-    "variant_pairs": f"""WITH {QUERIES}, v AS (SELECT query_id, trim(left(question, 15)) AS a, trim(CASE WHEN query_id % 3 = 0 THEN upper(left(question, 15)) WHEN query_id % 3 = 1 THEN substr(question, 16, 15) ELSE 'short' END) AS b FROM queries)
+    "stream_tokens": "SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') || CASE WHEN turn % 3 = 0 THEN '!' ELSE '' END AS plain FROM conversations",
+    "variant_pairs": f"""WITH {QUERIES}, v AS (SELECT query_id, trim(left(question, length(question) // 2)) AS a, trim(CASE WHEN query_id % 3 = 0 THEN upper(left(question, length(question) // 2)) WHEN query_id % 3 = 1 THEN substr(question, length(question) // 2 + 1) ELSE 'short' END) AS b FROM queries)
 SELECT query_id, CASE WHEN length(a) >= 10 AND length(b) >= 10 AND lower(a) <> lower(b) THEN a || '|' || b END AS pair FROM v""",
     "context_texts": f"""WITH {QUERIES}, c AS (SELECT query_id, CASE WHEN query_id % 2 = 0 AND trim(question) <> '' THEN {_present.format("[question]")} ELSE {_present.format("[gold_snippet]")} END AS t FROM queries)
 SELECT query_id, len(t) AS n, md5(array_to_string(list_transform(t, lambda x: CASE WHEN length(x) > 60 THEN left(x, 60) || chr(10) || '[truncated]' ELSE x END), '|')) AS digest FROM c""",
@@ -390,3 +395,54 @@ SELECT query_id, len(t) AS n, md5(array_to_string(list_transform(t, lambda x: CA
 queries AS (SELECT query_id, regexp_replace(question, '^[^ ]+ ', '') AS question, gold_snippet FROM asked_first),{LEXICAL},{DENSE} {RANKED.format(retriever('bm25_k10'))}""",
     "finished_cells": f"{WITH_HITS} SELECT strategy || '::' || retriever AS cell, count(*) AS n, count(*) = (SELECT count(*) FROM queries) AS done FROM hits GROUP BY ALL",
 }
+
+SNIPPETS = r"""
+drawn AS (
+  SELECT doc_id, x, n, greatest(150, n // 6) AS first, least(n - 200, n * 5 // 6) - greatest(150, n // 6) AS room, ('0x' || left(md5('42|place|' || doc_id::VARCHAR), 8))::BIGINT AS a,
+    120 + ('0x' || left(md5('42|size|' || doc_id::VARCHAR), 8))::BIGINT % 281 AS size
+  FROM (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n FROM documents)),
+placed AS (SELECT doc_id, x, first + a % room AS place, size FROM drawn WHERE n >= 500 AND room > 0),
+cut AS (SELECT doc_id, substr(x, place - 119, 120) AS before, substr(x, place + 1, size) AS body, substr(x, place + size + 1, 200) AS after FROM placed),
+passages AS (
+  SELECT doc_id, regexp_replace(regexp_extract(before, '(?s)^.*(?:\.[ \n]|\n\n)(.*)\z', 1) || body || left(after, coalesce(nullif(instr(after, '. '), 0), instr(after, '.' || chr(10)))),
+    '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+\z', '', 'g') AS p FROM cut),
+ended AS (SELECT doc_id, p, regexp_extract(left(p, 400), '(?s)^(.*\.) ', 1) AS whole FROM passages),
+snippets AS (
+  SELECT doc_id, CASE WHEN length(p) <= 400 THEN p WHEN length(whole) >= 120 THEN whole ELSE regexp_replace(left(p, 400), '\s+\z', '') END AS gold_snippet FROM ended WHERE length(p) >= 120)"""
+
+
+def filled(template: str, *values: str) -> str:
+    """SQL for format_string with texts."""
+    parts = [f"'{x}'".replace(chr(10), "' || chr(10) || '") for x in template.split("%s")]
+    return " || ".join(x for pair in zip(parts, (*values, "''"), strict=True) for x in pair)
+
+
+_made = r"'Which provision of the document sets out, among its other rules, the following: ' || array_to_string(string_split(trim(regexp_replace(gold_snippet, '\s+', ' ', 'g')), ' ')[1:8], ' ') || '?'"
+_made_tokens = "list_distinct({0})".format(tokens(normal("replace(q, '?', '')")))
+_first_sentence = r"coalesce(nullif(regexp_extract(text, '(?s)^(.*?[.!?])\s', 1), ''), text)"
+
+ORACLE_SQL |= {
+    "dense_k3": f"WITH RECURSIVE {CHUNKS},{QUERIES},{DENSE} {SCORED.format('SELECT * FROM dense WHERE rank <= 3')}",
+    "snippet_pick": f"WITH {SNIPPETS} SELECT doc_id, length(gold_snippet) AS n, md5(gold_snippet) AS digest FROM snippets WHERE length(gold_snippet) >= 120",
+    "accepted_snippets": f"""WITH {SNIPPETS}, made AS (SELECT doc_id, gold_snippet, {_made} AS q, left(gold_snippet, 400) AS a, row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) AS turn FROM snippets WHERE length(gold_snippet) >= 120)
+SELECT doc_id, turn, md5(q) AS question FROM made
+WHERE length(q) - length(replace(q, '?', '')) = 1 AND len(regexp_split_to_array(trim(q), '\\s+')) >= 12 AND len({_made_tokens}) > 0
+  AND len(list_intersect({_made_tokens}, list_distinct({tokens(normal("gold_snippet"))}))) <= 0.55 * len({_made_tokens})
+  AND length(trim(a)) BETWEEN 10 AND 500 AND len(regexp_split_to_array(trim(a), '\\s+')) >= 3 AND len(list_intersect({tokens("a")}, {tokens("gold_snippet")})) > 0
+ORDER BY turn LIMIT 50""",
+    "strategies_first_seen": "SELECT row_number() OVER (ORDER BY min(i)) - 1 AS place, strategy FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, (s, _) in enumerate(CHOSEN)) + ") p(i, strategy) GROUP BY strategy",
+    "pairs_fingerprint": "SELECT sha256('" + pairs_text(CHOSEN).replace("\n", "' || chr(10) || '") + "') AS fingerprint",
+    "stored_questions": f"""WITH RECURSIVE {CHUNKS},{QUERIES}, t AS (SELECT floor(greatest(60, least(250, quantile_cont(length(text), 0.5) / 6)))::BIGINT AS target_words FROM chunks)
+SELECT 'line_n_merge' AS strategy, query_id, 'According to the provisions that apply, ' || lower(left(question, 1)) || substr(question, 2) AS enhanced_question, target_words FROM queries, t""",
+    "question_prompts": f"WITH {QUERIES} SELECT query_id, md5({filled(REWRITE, "'120'", 'question')}) AS rewrite, md5({filled(VARIANTS, "'120'", 'question')}) AS variants FROM queries",
+    "responses": f"""{WITH_LEXICAL},{REFERENCE}, found AS (SELECT l.query_id, l.rank, l.doc_id, c.text FROM lexical l JOIN chunks c ON c.doc_id = l.doc_id AND c.pos = l.pos WHERE rank <= 5),
+p AS (SELECT q.query_id, {_context} || string_agg('[' || rank::VARCHAR || '] Document ' || f.doc_id::VARCHAR || chr(10) || CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '[truncated]' ELSE text END, chr(10) || chr(10) ORDER BY rank)
+  || chr(10) || chr(10) || 'Question: ' || any_value(q.question) AS prompt, count(*) AS n_documents FROM queries q JOIN found f USING (query_id) GROUP BY q.query_id)
+SELECT p.query_id, g.reference, CASE WHEN trim(coalesce(g.gold_snippet, '')) <> '' THEN 1 ELSE 0 END AS n_reference, n_documents, md5(prompt) AS prompt, md5(trim({_first_sentence})) AS answer
+FROM p JOIN found f ON f.query_id = p.query_id AND f.rank = 1 JOIN gold g ON g.query_id = p.query_id""",
+    "seeded_order": "SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) AS turn FROM documents",
+    "coerced_numbers": """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || 'x' ELSE n_chars::VARCHAR END AS raw FROM documents)
+SELECT doc_id, try_cast(raw AS BIGINT) AS number, coalesce(try_cast(raw AS BIGINT), -1) AS filled FROM r""",
+    "language_projection": "SELECT doc_id, length(text) AS n FROM documents WHERE lang = 'en'",
+    "previews": f"{WITH_LEXICAL} SELECT l.query_id, l.rank, l.doc_id, md5({clip('d.text', 800)}) AS preview FROM lexical l JOIN documents d USING (doc_id) WHERE l.rank <= 3",
+}

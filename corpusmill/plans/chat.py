@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import cited_ranks, clipped
 
 
+def with_previews(ranking: DataFrame, docs: DataFrame, chars: int = 800) -> DataFrame:
+    """ranking with ``preview``, the beginning of the document's text; null where there is no such document."""
+    looked = docs.join(ranking.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", clipped("text", chars).alias("preview"))
+    return ranking.join(looked, "doc_id", "left")
+
+
 def grouped_sources(ranking: DataFrame, chunks: DataFrame, snippet: int = 400) -> DataFrame:
-    """query_id, doc_id, sources (rank, pos, score, snippet in order of rank): a row for each document."""
+    """query_id, doc_id, sources (rank, pos, score, snippet in order of rank), place (by document, one without an id last): a row for each document."""
     rows = ranking.join(chunks.select("doc_id", "pos", "text"), ["doc_id", "pos"])
     source = F.struct("rank", "pos", "score", clipped("text", snippet).alias("snippet"))
-    return rows.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
+    groups = rows.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == "", "doc_id")))
 
 
 def source_block(rank: str | Column, doc_id: str | Column, text: str | Column) -> Column:

@@ -1,14 +1,14 @@
 """The twenty retrievers: ten base ones, each plain or reranked, over shared ranked lists.
 
 Dense and lexical lists are computed once for all queries, to the depth that the deepest
-retriever needs, and written; every retriever is a cheap plan over them.
+retriever needs, and written when a retriever first reads them; every retriever is a cheap plan over them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import fusion
@@ -55,56 +55,79 @@ def parse_pairs(text: str) -> list[tuple[str, str]]:
     return pairs
 
 
-@dataclass
-class Lists:
-    """What all retrievers of one corpus and batch of queries read.
+class Corpus:
+    """Chunks (doc_id, pos, text) with their vectors and lexical index, each made when it is first read, and once."""
 
-    queries: query_id, question. chunks: doc_id, pos, text.
-    """
+    def __init__(self, chunks: DataFrame, embedder: type[Embedder] = HashingEmbedder) -> None:
+        self.chunks, self.embedder = materialize(chunks.select("doc_id", "pos", "text"), "chunks"), embedder
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return materialize(embed(self.chunks, "text", self.embedder).drop("text"), "vectors")
+
+    @cached_property
+    def index(self) -> LexicalIndex:
+        return LexicalIndex(self.chunks)
 
-    queries: DataFrame
-    chunks: DataFrame
-    dense: DataFrame
-    lexical: DataFrame
-    vectors: DataFrame
-    query_vectors: DataFrame
+
+class Lists:
+    """What all retrievers of one corpus and batch of queries (query_id, question) read; a list that no retriever reads isn't made."""
+
+    def __init__(self, queries: DataFrame, corpus: Corpus, depth: int = DEPTH) -> None:
+        self.queries, self.corpus, self.depth = queries, corpus, depth
 
     @classmethod
     def of(cls, queries: DataFrame, chunks: DataFrame, depth: int = DEPTH, embedder: type[Embedder] = HashingEmbedder) -> Lists:
-        chunks = materialize(chunks.select("doc_id", "pos", "text"), "chunks")
-        vectors = materialize(embed(chunks, "text", embedder).drop("text"), "vectors")
-        asked = materialize(embed(queries.select("query_id", "question"), "question", embedder), "queries")
-        dense = materialize(nearest(vectors, asked, depth), "dense")
-        index = LexicalIndex(chunks)
-        lexical = materialize(index.top(queries, depth), "lexical")
-        index.unpersist()
-        return cls(queries, chunks, dense, lexical, vectors, asked)
+        return cls(queries, Corpus(chunks, embedder), depth)
+
+    def asked(self, queries: DataFrame, depth: int | None = None) -> Lists:
+        """Other queries over the same corpus, whose vectors and index stay."""
+        return Lists(queries, self.corpus, depth or self.depth)
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.corpus.chunks
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.corpus.vectors
+
+    @cached_property
+    def query_vectors(self) -> DataFrame:
+        return materialize(embed(self.queries.select("query_id", "question"), "question", self.corpus.embedder), "queries")
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        return materialize(nearest(self.vectors, self.query_vectors, self.depth), "dense")
+
+    @cached_property
+    def lexical(self) -> DataFrame:
+        return materialize(self.corpus.index.top(self.queries, self.depth), "lexical")
 
     def base(self, retriever: str, k: int) -> DataFrame:
         """A base retriever's k rows: query_id, doc_id, pos, rank, score."""
-        d, b = self.dense, self.lexical
         match base_of(retriever):
             case "dense_sim_k10":
-                return fusion.head(d, k).select(*fusion.KEY, "rank", "score")
+                return fusion.head(self.dense, k).select(*fusion.KEY, "rank", "score")
             case "dense_mmr_k10":
-                pool = fusion.head(d, max(2 * k, 40)).join(self.vectors, ["doc_id", "pos"])
+                pool = fusion.head(self.dense, max(2 * k, 40)).join(self.vectors, ["doc_id", "pos"])
                 return mmr(pool, self.query_vectors, k).select(*fusion.KEY, "rank", "score")
             case "bm25_k10":
-                return fusion.head(b, k).select(*fusion.KEY, "rank", "score")
+                return fusion.head(self.lexical, k).select(*fusion.KEY, "rank", "score")
             case "hyb_rrf_k60":
-                return fusion.reciprocal_rank(d, b, k, 60, 20)
+                return fusion.reciprocal_rank(self.dense, self.lexical, k, 60, 20)
             case "hyb_rrf_k30":
-                return fusion.reciprocal_rank(d, b, k, 30, 20)
+                return fusion.reciprocal_rank(self.dense, self.lexical, k, 30, 20)
             case "hyb_rrf_fetch40":
-                return fusion.reciprocal_rank(d, b, k, 60, 40)
+                return fusion.reciprocal_rank(self.dense, self.lexical, k, 60, 40)
             case "hyb_weighted_norm":
-                return fusion.weighted(d, b, k, 0.5)
+                return fusion.weighted(self.dense, self.lexical, k, 0.5)
             case "hyb_weighted_dense_70":
-                return fusion.weighted(d, b, k, 0.7)
+                return fusion.weighted(self.dense, self.lexical, k, 0.7)
             case "hyb_interleave":
-                return fusion.interleaved(d, b, k)
+                return fusion.interleaved(self.dense, self.lexical, k)
             case "hyb_fill_dense_then_bm25":
-                return fusion.filled(d, b, k)
+                return fusion.filled(self.dense, self.lexical, k)
         raise ValueError(f"unknown retriever: {retriever}")
 
     def run(self, retriever: str, k: int = 10, pool: int | None = None, scorer: Scorer = coverage) -> DataFrame:
@@ -113,7 +136,11 @@ class Lists:
             rows = rerank(self.base(retriever, pool or max(POOL, 5 * k)), self.queries, self.chunks, k, scorer)
         else:
             rows = self.base(retriever, k)
-        return fusion.padded(rows, [fusion.head(self.dense, PAD), fusion.head(self.lexical, PAD)], k)
+        return fusion.padded(rows, [fusion.head(x, PAD) for x in self.pads([retriever])], k)
+
+    def pads(self, retrievers: list[str]) -> list[DataFrame]:
+        """Lists that fill up short results. The dense one has every chunk until it is full, so retrievers that need no lexical list don't make one."""
+        return [self.dense] if all(dense_only(r) for r in retrievers) else [self.dense, self.lexical]
 
     def candidates(self, retriever: str, k: int = DEPTH) -> DataFrame:
         """A base retriever's pool, to be stored and finalised later."""
@@ -134,26 +161,27 @@ class Lists:
         return relevant(rerank(self.base(retriever, pool), self.queries, self.chunks, None, scorer), least, k)
 
 
-def multi_query(variants: DataFrame, queries: DataFrame, chunks: DataFrame, retriever: str, k: int = 20, each: int = 80, scorer: Scorer = coverage) -> DataFrame:
+def multi_query(variants: DataFrame, lists: Lists, retriever: str, k: int = 20, each: int = 80, scorer: Scorer = coverage) -> DataFrame:
     """Union of a question's and its variants' pools, reranked by the question itself, padded from the union.
 
-    variants: query_id, variants (array of texts).
+    variants: query_id, variants (array of texts). lists: of the questions; only their corpus and queries are read.
     """
+    queries = lists.queries
     every = queries.join(variants, "query_id", "left").select("query_id", F.posexplode(F.concat(F.array("question"), F.coalesce("variants", F.array().cast("array<string>")))).alias("variant", "question"))
     asked = every.select(F.concat_ws("#", F.col("query_id").cast("string"), "variant").alias("query_id"), "question")
-    lists = Lists.of(asked, chunks, each)
+    several = lists.asked(asked, each)
     parts = F.split("query_id", "#")
     kind = dict(queries.dtypes)["query_id"]
-    pool = lists.base(retriever, each).select(
+    pool = several.base(retriever, each).select(
         F.element_at(parts, 1).cast(kind).alias("query_id"), "doc_id", "pos", (F.element_at(parts, 2).cast("long") * F.lit(1 << 32) + F.col("rank")).alias("rank")
     )
     pool = fusion.concatenated([pool])
     return fusion.padded(rerank(pool, queries, lists.chunks, k, scorer), [pool], k)
 
 
-def rewritten(questions: DataFrame, chunks: DataFrame, retriever: str, k: int = 20, scorer: Scorer = coverage) -> DataFrame:
-    """A retriever over rewritten questions (query_id, question), which also rerank and pad."""
-    return Lists.of(questions, chunks).run(retriever, k, scorer=scorer)
+def rewritten(questions: DataFrame, lists: Lists, retriever: str, k: int = 20, scorer: Scorer = coverage) -> DataFrame:
+    """A retriever over rewritten questions (query_id, question), which also rerank and pad; the corpus is that of lists."""
+    return lists.asked(questions).run(retriever, k, scorer=scorer)
 
 
 def stored_or_live(queries: DataFrame, stored: DataFrame, live: DataFrame) -> DataFrame:
@@ -164,14 +192,47 @@ def stored_or_live(queries: DataFrame, stored: DataFrame, live: DataFrame) -> Da
     return kept.unionByName(live.join(missing, "query_id", "left_semi").select(*fusion.KEY, "rank", "score"))
 
 
-def grid(lists: dict[str, Lists], retrievers: list[str], k: int = 10) -> DataFrame:
-    """strategy, retriever, query_id, doc_id, pos, rank, score: all cells in one relation."""
-    out = None
-    for strategy, own in lists.items():
-        for retriever in checked(retrievers):
-            rows = own.run(retriever, k).select(F.lit(strategy).alias("strategy"), F.lit(retriever).alias("retriever"), *fusion.KEY, "rank", "score")
-            out = rows if out is None else out.unionAll(rows)
-    return out
+def grid(lists: dict[str, Lists], retrievers: list[str], k: int = 10, pool: int | None = None, scorer: Scorer = coverage, strict: bool = False) -> DataFrame:
+    """strategy, retriever, query_id, doc_id, pos, rank, score: all cells in one relation.
+
+    The result is that of ``Lists.run`` for each cell. A candidate is scored once for all reranked retrievers of its
+    strategy, and all of them are ranked and padded by one window. strict: fewer than k rows for a query are an error.
+    """
+    return cells({strategy: (own, list(retrievers)) for strategy, own in lists.items()}, k, pool, scorer, strict)
+
+
+def cells(wanted: dict[str, tuple[Lists, list[str]]], k: int = 10, pool: int | None = None, scorer: Scorer = coverage, strict: bool = False) -> DataFrame:
+    """grid() with retrievers of its own for each strategy."""
+    rows = reduce(DataFrame.unionAll, (_cells_of(own, checked(names), k, pool or max(POOL, 5 * k), scorer).select(F.lit(s).alias("strategy"), "*") for s, (own, names) in wanted.items()))
+    if strict:
+        rows = materialize(rows, "cells")
+        found = rows.groupBy("strategy", "retriever", "query_id").agg(F.count("*").alias("n")).where(F.col("n") == k).groupBy("strategy", "retriever").count().collect()
+        complete = {(r.strategy, r.retriever): r["count"] for r in found}
+        for strategy, (own, names) in wanted.items():
+            n = own.queries.count()
+            if short := [r for r in names if complete.get((strategy, r), 0) < n]:
+                raise ValueError(f"{strategy}: fewer than {k} results of {', '.join(short)}")
+    return rows
+
+
+def _cells_of(own: Lists, retrievers: list[str], k: int, pool: int, scorer: Scorer) -> DataFrame:
+    key = ("retriever", *fusion.KEY)
+    named = lambda rows, name: rows.select(F.lit(name).alias("retriever"), *fusion.KEY, "rank")
+    parts = [named(own.base(r, k), r) for r in retrievers if not is_reranked(r)]
+    if again := [r for r in retrievers if is_reranked(r)]:
+        candidates = materialize(reduce(DataFrame.unionAll, (named(own.base(r, pool), r) for r in again)), "candidates")
+        texts = candidates.select(*fusion.KEY).distinct().join(own.chunks, ["doc_id", "pos"]).join(own.queries.select("query_id", "question"), "query_id")
+        scores = texts.select(*fusion.KEY, F.round(scorer("question", "text"), 8).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("retriever", "query_id").orderBy(F.col("score").desc(), "former", "doc_id", "pos"))
+        ranked = candidates.withColumnRenamed("rank", "former").join(scores, list(fusion.KEY)).withColumn("rank", rank).where(F.col("rank") <= k)
+        parts.append(ranked.select(*key, "rank"))
+    rows = reduce(DataFrame.unionAll, parts)
+    names = own.queries.sparkSession.createDataFrame([(r,) for r in retrievers], "retriever string")
+    pads = [fusion.head(x, PAD).crossJoin(F.broadcast(names)).select(*key, F.col("rank").cast("long") + F.lit((i + 1) << 32)) for i, x in enumerate(own.pads(retrievers))]  # a row for each retriever, twenty at most
+    every = reduce(DataFrame.unionAll, [rows.select(*key, F.col("rank").cast("long").alias("seen")), *pads])
+    firsts = every.groupBy(*key).agg(F.min("seen").alias("seen"))
+    rank = F.row_number().over(Window.partitionBy("retriever", "query_id").orderBy("seen", "doc_id", "pos"))
+    return firsts.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, "rank", (-F.col("seen")).cast("double").alias("score"))
 
 
 def unfinished(cells: DataFrame, done: DataFrame) -> DataFrame:

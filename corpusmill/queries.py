@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as fn
 from corpusmill.operators import chunking, dedup, enrich, evaluate, fusion, groundtruth, rerank, scoring, search
 from corpusmill.operators.models import HashingEmbedder, coverage, embed, template_question
-from corpusmill.plans import chat, retrieval
-from corpusmill.sources.shared import materialize
+from corpusmill.plans import campaign, chat, retrieval
+from corpusmill.sources.shared import materialize, stamp
 from corpusmill.sources.tables import benchmark_queries, documents, last_by_key, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,15 +36,20 @@ def chunks_of(spark: SparkSession, sf_dir: str, *strategies: str) -> DataFrame:
     return chunking.chunk(documents(spark, sf_dir), list(strategies or (STRATEGY,)))
 
 
-_lists: dict[tuple[int, str], retrieval.Lists] = {}
+_shared: dict[tuple, object] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """What several queries read, made once in a session for each state of the input tables."""
+    key = (name, id(spark.sparkContext), sf_dir, stamp(spark, f"{sf_dir}/documents.parquet"), stamp(spark, f"{sf_dir}/benchmark.parquet"))
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
 
 
 def lists_of(spark: SparkSession, sf_dir: str) -> retrieval.Lists:
-    """Dense and lexical lists of a corpus, once in a session: the hybrid retrievers only read them."""
-    key = (id(spark.sparkContext), sf_dir)
-    if key not in _lists:
-        _lists[key] = retrieval.Lists.of(benchmark_queries(spark, sf_dir), chunks_of(spark, sf_dir))
-    return _lists[key]
+    """Dense and lexical lists of a corpus: the hybrid retrievers only read them."""
+    return shared(spark, sf_dir, "lists", lambda: retrieval.Lists.of(benchmark_queries(spark, sf_dir), chunks_of(spark, sf_dir)))
 
 
 def rows_of(ranking: DataFrame) -> DataFrame:
@@ -112,6 +117,35 @@ def chunk_recursive_500(spark, d):
     return chunks_of(spark, d, "len_500_o50").select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
+def _digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query
+def chunk_recursive_1000(spark, d):
+    return _digests(chunks_of(spark, d, "len_1000_o100"))
+
+
+@query
+def chunk_recursive_1500(spark, d):
+    return _digests(chunks_of(spark, d, "len_1500_o150"))
+
+
+@query
+def chunk_recursive_2000(spark, d):
+    return _digests(chunks_of(spark, d, "len_2000_o0"))
+
+
+@query
+def chunk_recursive_2000_o200(spark, d):
+    return _digests(chunks_of(spark, d, "len_2000_o200"))
+
+
+@query
+def chunk_recursive_paragraphs(spark, d):
+    return _digests(chunks_of(spark, d, "rec_nn_priority"))
+
+
 @query
 def chunk_recursive_legal(spark, d):
     return chunks_of(spark, d, "rec_legal_markers").select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
@@ -267,17 +301,15 @@ def tfidf_top_terms(spark, d):
 
 @query
 def similar_pairs(spark, d):
-    return dedup.similar_pairs(dedup.representatives(documents(spark, d)))
+    return pairs_of(spark, d)
 
 
-_groups: dict[tuple[int, str], DataFrame] = {}
+def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, "pairs", lambda: materialize(dedup.similar_pairs(dedup.representatives(documents(spark, sf_dir))), "pairs"))
 
 
 def groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (id(spark.sparkContext), sf_dir)
-    if key not in _groups:
-        _groups[key] = materialize(dedup.groups(documents(spark, sf_dir)), "groups")
-    return _groups[key]
+    return shared(spark, sf_dir, "groups", lambda: materialize(dedup.groups(documents(spark, sf_dir), pairs=pairs_of(spark, sf_dir)), "groups"))
 
 
 @query
@@ -303,7 +335,7 @@ def dup_group_id(spark, d):
 
 @query
 def dedup_stats(spark, d):
-    return dedup.statistics(groups_of(spark, d))
+    return dedup.statistics(groups_of(spark, d), pairs_of(spark, d))
 
 
 # -- retrieval --------------------------------------------------------------
@@ -325,6 +357,11 @@ def dense_text_top10(spark, d):
     return scored(fusion.head(lists_of(spark, d).dense, K))
 
 
+@query
+def dense_k3(spark, d):
+    return scored(fusion.head(lists_of(spark, d).dense, 3))
+
+
 @query
 def dense_top10(spark, d):
     rows = spread(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id")
@@ -412,7 +449,7 @@ def neighbors_rerank(spark, d):
 def multiquery_union(spark, d):
     lists = lists_of(spark, d)
     variants = lists.queries.select("query_id", fn.half_split("question").alias("variants"))
-    return rows_of(retrieval.multi_query(variants, lists.queries, lists.chunks, "bm25_k10"))
+    return rows_of(retrieval.multi_query(variants, lists, "bm25_k10"))
 
 
 @query
@@ -444,18 +481,51 @@ def prompts(spark, d):
 
 #: Retrievers whose whole plan SQL can reproduce.
 CHECKED = [r for r in retrieval.RETRIEVERS if "mmr" not in r]
-_grids: dict[tuple[int, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rankings of all checked retrievers, first hits)."""
-    key = (id(spark.sparkContext), sf_dir)
-    if key not in _grids:
+
+    def make() -> tuple[DataFrame, DataFrame]:
         lists = lists_of(spark, sf_dir)
         rankings = materialize(retrieval.grid({STRATEGY: lists}, CHECKED, K), "grid")
         hits = evaluate.first_hits(rankings, gold(spark, sf_dir), lists.chunks, ("strategy", "retriever"))
-        _grids[key] = rankings, materialize(hits, "hits")
-    return _grids[key]
+        return rankings, materialize(hits, "hits")
+
+    return shared(spark, sf_dir, "grid", make)
+
+
+def strategy_lists(spark: SparkSession, sf_dir: str) -> dict[str, retrieval.Lists]:
+    """Lists of all ten chunkings."""
+
+    def make() -> dict[str, retrieval.Lists]:
+        others = [s for s in chunking.SPECS if s != STRATEGY]
+        made = campaign.lists_by_strategy(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), others) | {STRATEGY: lists_of(spark, sf_dir)}
+        return {s: made[s] for s in chunking.SPECS}
+
+    return shared(spark, sf_dir, "strategies", make)
+
+
+def whole_grid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First hits of ten chunkings by twenty retrievers."""
+
+    def make() -> DataFrame:
+        lists = strategy_lists(spark, sf_dir)
+        rows = materialize(retrieval.grid(lists, list(retrieval.RETRIEVERS), K), "whole-grid")
+        return materialize(campaign.first_hits(rows, materialize(gold(spark, sf_dir), "gold"), lists), "whole-hits")
+
+    return shared(spark, sf_dir, "whole grid", make)
+
+
+def pair_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First hits of the ten chosen pairs to rank 20."""
+
+    def make() -> DataFrame:
+        lists = {s: strategy_lists(spark, sf_dir)[s] for s in campaign.strategies_of(campaign.PAIRS)}
+        rows = materialize(campaign.rankings(lists, campaign.PAIRS), "pair-rankings")
+        return materialize(campaign.first_hits(rows, gold(spark, sf_dir), lists), "pair-hits")
+
+    return shared(spark, sf_dir, "pair hits", make)
 
 
 @query
@@ -503,6 +573,90 @@ def mmr_summary(spark, d):
     return evaluate.summary(evaluate.first_hits(rankings, gold(spark, d), lists.chunks, ("strategy", "retriever")), "strategy", "retriever")
 
 
+@query
+def grid_summary_all(spark, d):
+    """All ten chunkings by all twenty retrievers."""
+    return evaluate.summary(whole_grid_hits(spark, d), "strategy", "retriever")
+
+
+@query
+def hit_rate_pivot_all(spark, d):
+    return evaluate.pivot(evaluate.summary(whole_grid_hits(spark, d), "strategy", "retriever"), "strategy", "retriever", list(retrieval.RETRIEVERS))
+
+
+@query
+def pairs_summary(spark, d):
+    """The ten chosen pairs to rank 20."""
+    return evaluate.summary(pair_hits(spark, d), "strategy", "retriever")
+
+
+@query
+def pairs_histogram(spark, d):
+    return evaluate.histogram(pair_hits(spark, d), campaign.PAIR_K, "strategy", "retriever")
+
+
+@query
+def pairs_kept_summary(spark, d):
+    """The chosen pairs on the de-duplicated corpus, for the questions whose reference is in it."""
+    docs = documents(spark, d)
+    left = materialize(campaign.kept(docs, QUERIES["dedup_keepers"](spark, d)), "kept")
+    own = materialize(evaluate.with_reference(benchmark_queries(spark, d), left), "kept-gold")
+    lists = campaign.lists_by_strategy(left, benchmark_queries(spark, d), campaign.strategies_of(campaign.PAIRS))
+    rows = materialize(campaign.rankings(lists, campaign.PAIRS), "kept-rankings")
+    return evaluate.summary(campaign.first_hits(rows, own.where("reference is not null"), lists), "strategy", "retriever")
+
+
+@query
+def pairs_neighbours_summary(spark, d):
+    """The chosen pairs of the first two chunkings with the chunks around each result."""
+    pairs = campaign.PAIRS
+    lists = {s: strategy_lists(spark, d)[s] for s in campaign.strategies_of(pairs)}
+    rows = materialize(campaign.neighbour_rankings(lists, pairs), "neighbour-rankings")
+    return evaluate.summary(campaign.first_hits(rows, gold(spark, d), lists), "strategy", "retriever")
+
+
+@query
+def strategies_first_seen(spark, d):
+    pairs = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(campaign.PAIRS)], "at int, strategy string")
+    return campaign.first_seen(pairs, "strategy", "at")
+
+
+@query
+def pairs_fingerprint(spark, d):
+    return spark.range(1).select(F.sha2(F.lit(campaign.pairs_text(campaign.PAIRS)), 256).alias("fingerprint"))
+
+
+@query
+def stored_questions(spark, d):
+    """Rewritten questions of a strategy; those of even ids are stored already."""
+    queries, targets = benchmark_queries(spark, d), chunking.statistics(chunks_of(spark, d)).select("strategy", "target_words")
+    stored = campaign.stored_questions(queries.where("query_id % 2 = 0"), targets)
+    rows = campaign.required(campaign.stored_questions(queries, targets, stored), queries, [STRATEGY])
+    return rows.select("strategy", "query_id", "enhanced_question", "target_words")
+
+
+@query
+def question_prompts(spark, d):
+    q = benchmark_queries(spark, d)
+    return q.select("query_id", F.md5(campaign.rewrite_prompt("question", F.lit(120))).alias("rewrite"), F.md5(campaign.variants_prompt("question", F.lit(120))).alias("variants"))
+
+
+@query
+def responses(spark, d):
+    """Answers over each question's five best chunks, as records."""
+    lists = lists_of(spark, d)
+    inputs = campaign.model_inputs(fusion.head(lists.lexical, 5), lists.queries, lists.chunks)
+    rows = campaign.responses(inputs, gold(spark, d))
+    return rows.join(inputs.select("query_id", "prompt"), "query_id").select("query_id", "reference", F.size("reference_contexts").alias("n_reference"), "n_documents", F.md5("prompt").alias("prompt"), F.md5("answer").alias("answer"))
+
+
+@query
+def accepted_snippets(spark, d):
+    """The first fifty documents in seeded order whose snippet gives a question and an answer that pass."""
+    made = campaign.made_questions(groundtruth.snippets(documents(spark, d)))
+    return campaign.first_accepted(made, 50, F.col("supported")).select("doc_id", "turn", F.md5("question").alias("question"))
+
+
 # -- gold snippets and scores -----------------------------------------------
 
 
@@ -558,38 +712,36 @@ def score_stats(spark, d):
     return scoring.statistics(score_rows(spark, d), ["m1", "m2", "m3"])
 
 
-def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _contexts(spark: SparkSession, sf_dir: str, clean: Callable[[str], Column]) -> tuple[DataFrame, DataFrame]:
     lists = lists_of(spark, sf_dir)
-    ascii_ = lambda c: F.regexp_replace(F.substring(c, 1, 120), r"[^\x20-\x7e]", "?")  # noqa: E731  SQL engines differ on bytes or characters
-    contexts = fusion.head(lists.lexical, 5).join(lists.chunks, ["doc_id", "pos"]).select("query_id", "rank", ascii_("text").alias("text"))
-    return contexts, benchmark_queries(spark, sf_dir).select("query_id", ascii_("gold_snippet").alias("reference_text"))
+    contexts = fusion.head(lists.lexical, 5).join(lists.chunks, ["doc_id", "pos"]).select("query_id", "rank", clean("text").alias("text"))
+    return contexts, benchmark_queries(spark, sf_dir).select("query_id", clean("gold_snippet").alias("reference_text"))
+
+
+def _ascii(column: str) -> Column:
+    """SQL engines measure edits in bytes or in characters; of ASCII both are the same."""
+    return F.regexp_replace(column, r"[^\x20-\x7e]", "?")
 
 
 @query
 def edit_similarity_precision(spark, d):
-    return scoring.context_precision(*_contexts(spark, d), 0.25)
+    return scoring.context_precision(*_contexts(spark, d, _ascii))
 
 
 @query
 def edit_similarity_recall(spark, d):
-    return scoring.context_recall(*_contexts(spark, d), 0.25)
-
-
-def _whole_contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Whole texts, for the surveyed metric at its threshold; the two queries above compare prefixes, as their SQL does."""
-    lists = lists_of(spark, sf_dir)
-    contexts = fusion.head(lists.lexical, 5).join(lists.chunks, ["doc_id", "pos"]).select("query_id", "rank", "text")
-    return contexts, benchmark_queries(spark, sf_dir).select("query_id", F.col("gold_snippet").alias("reference_text"))
+    return scoring.context_recall(*_contexts(spark, d, _ascii))
 
 
 @query
 def edit_similarity_precision_whole(spark, d):
-    return scoring.context_precision(*_whole_contexts(spark, d))
+    """In characters, of whatever script."""
+    return scoring.context_precision(*_contexts(spark, d, F.col))
 
 
 @query
 def edit_similarity_recall_whole(spark, d):
-    return scoring.context_recall(*_whole_contexts(spark, d))
+    return scoring.context_recall(*_contexts(spark, d, F.col))
 
 
 # -- joins, sets and payloads -----------------------------------------------
@@ -664,29 +816,54 @@ def relative_times(spark, d):
     return table(spark, d, "events").select("event_id", fn.relative_time("ts", now).alias("label"))
 
 
-def _stream_tokens(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    text = F.regexp_replace(text, "[^A-Za-z ]", "")
+@query
+def stream_tokens(spark, d):
+    text = F.regexp_replace("text", "[^A-Za-z ]", "")
     token = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('[{"type": "text", "text": "'), text, F.lit('"}, {"type": "text", "text": "!"}]')))
     token = token.when(F.col("turn") % 3 == 1, F.concat(F.lit("[{'type': 'text', 'text': '"), text, F.lit("'}]"))).otherwise(text)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.block_text(token).alias("plain"))
+    return table(spark, d, "conversations").select("conv_id", "turn", fn.block_text(token).alias("plain"))
 
 
 @query
-def stream_tokens(spark, d):
-    return _stream_tokens(spark, d, F.substring("text", 1, 40))
+def variant_pairs(spark, d):
+    half = F.floor(F.length("question") / 2).cast("int")
+    first = F.substring(F.col("question"), F.lit(1), half)
+    second = F.when(F.col("query_id") % 3 == 0, F.upper(first)).when(F.col("query_id") % 3 == 1, F.substring(F.col("question"), half + 1, F.length("question"))).otherwise("short")
+    pair = fn.variant_pair(F.array(first, second))
+    return benchmark_queries(spark, d).select("query_id", F.array_join(pair, "|").alias("pair"))
 
 
 @query
-def stream_tokens_whole(spark, d):
-    return _stream_tokens(spark, d, F.col("text"))
+def bow_counts_nfkc(spark, d):
+    """Bag of words of compatibility-composed texts, most frequent first."""
+    return enrich.word_counts(documents(spark, d), fn.tokens(fn.normalize(fn.nfkc(F.coalesce("text", F.lit(""))))), ("the", "of", "de", "la", "der")).orderBy(F.col("count").desc(), "term")
 
 
 @query
-def variant_pairs(spark, d):
-    first = F.substring("question", 1, 15)
-    second = F.when(F.col("query_id") % 3 == 0, F.upper(first)).when(F.col("query_id") % 3 == 1, F.substring("question", 16, 15)).otherwise("short")
-    pair = fn.variant_pair(F.array(first, second))
-    return benchmark_queries(spark, d).select("query_id", F.array_join(pair, "|").alias("pair"))
+def seeded_order(spark, d):
+    return campaign.ordered(documents(spark, d).select("doc_id"), "doc_id").select("doc_id", "turn")
+
+
+@query
+def coerced_numbers(spark, d):
+    """Numbers out of texts of which some are none: null, then -1."""
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("x"))).otherwise(F.col("n_chars").cast("string"))
+    number = fn.number(raw)
+    return table(spark, d, "documents").select("doc_id", number.alias("number"), F.coalesce(number, F.lit(-1)).alias("filled"))
+
+
+@query
+def language_projection(spark, d):
+    """Texts by language as a map; documents that have an English one, and its text."""
+    docs = table(spark, d, "documents").select("doc_id", F.create_map(F.coalesce("lang", F.lit("")), F.col("text")).alias("by_lang"))
+    return enrich.in_language(docs, "by_lang", "en").select("doc_id", F.length("text").alias("n"))
+
+
+@query
+def previews(spark, d):
+    """Results with the beginning of their documents' texts, looked up by id."""
+    lists = lists_of(spark, d)
+    return chat.with_previews(fusion.head(lists.lexical, 3), documents(spark, d), 800).select("query_id", "rank", "doc_id", F.md5("preview").alias("preview"))
 
 
 @query
@@ -731,7 +908,7 @@ def rewritten_questions(spark, d):
     """Questions without their first word stand for rewritten ones."""
     lists = lists_of(spark, d)
     asked = lists.queries.select("query_id", F.regexp_replace("question", "^[^ ]+ ", "").alias("question"))
-    return rows_of(retrieval.rewritten(asked, lists.chunks, "bm25_k10", K))
+    return rows_of(retrieval.rewritten(asked, lists, "bm25_k10", K))
 
 
 @query

@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes at path and when it was last modified: changes when a table is written anew."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(target).getLength(), fs.getFileStatus(target).getModificationTime()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,9 +62,19 @@ def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: the one latest in order."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row for each key: the one latest in order; of several latest the one whose other values are largest."""
+    values = [c for c in rows.columns if c not in (key, order)]
+    row = F.max_by(F.struct(*values), F.struct(order, *values)) if values else None
+    if row is None:
+        return rows.groupBy(key).agg(F.max(order).alias(order)).select(*rows.columns)
+    latest = rows.groupBy(key).agg(F.max(order).alias(order), row.alias("_row"))
+    return latest.select(key, order, "_row.*").select(*rows.columns)
+
+
+def ground_truth(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """query_id, question, reference, gold_snippet of a ground-truth file of JSON lines."""
+    rows = read_jsonl(spark, path, QUERY, "id", limit)
+    return rows.select(F.col("id").alias("query_id"), "question", "reference", "gold_snippet")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

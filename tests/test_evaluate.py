@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import Row
 
@@ -52,18 +55,34 @@ def test_violations(spark):
     assert tuple(enrich.violations(docs).first()) == (1, 2, 1)
 
 
-def test_snippet_picker_is_seeded_and_in_text():
-    text = ". ".join(f"Sentence number {i} of a longer text" for i in range(60)) + "."
-    found = groundtruth.pick_snippet(text, "1|a")
-    assert found == groundtruth.pick_snippet(text, "1|a") and found in text and 60 <= len(found) <= 400
-    assert groundtruth.pick_snippet("short", "1|a") is None
-
-
-def test_snaps():
-    assert groundtruth.snap_start("One. Two three", 8) == 5
-    assert groundtruth.snap_end("One two. Three", 2) == 8
-    assert groundtruth.snap_end("One two.\nThree", 2) == 8
-    assert groundtruth.snap_start("abc", 0) == 0
+def brute_snippet(text, key, seed=42, least=120, most=400):
+    """The rules one after another, on the whole text."""
+    drawn = lambda salt, n: int(hashlib.md5(f"{seed}|{salt}|{key}".encode()).hexdigest()[:8], 16) % n
+    n = len(text)
+    first = max(150, n // 6)
+    room = min(n - most // 2, n * 5 // 6) - first
+    if n < 500 or room <= 0:
+        return None
+    start = first + drawn("place", room)
+    end = start + least + drawn("size", most - least + 1)
+    borders = [m.end() for mark in (r"\. ", r"\.\n", r"\n\n") for m in re.finditer(f"(?={mark})..", text[start - 120 : start], re.DOTALL)]
+    begin = start - 120 + max(borders) if borders else start
+    stops = [i + 1 for mark in (". ", ".\n") if (i := text[end : end + 200].find(mark)) >= 0]
+    found = re.sub(r"^[\W]+|[\W]+\Z", "", text[begin : min(n, end) + (stops[0] if stops else 0)])
+    if len(found) > most:
+        stop = found[:most].rfind(". ")
+        found = found[: stop + 1] if stop + 1 >= least else found[:most].rstrip()
+    return found if len(found) >= least else None
+
+
+def test_snippets_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    made = ["", "short", ". ".join(f"Sentence number {i} of a longer text" for i in range(60)) + ".", "no marks at all " * 60, "A.\nB. C\n\nD " * 120, "x" * 5000, "..  \n" * 300]
+    docs = docs.unionAll(spark.createDataFrame([(10_000 + i, x) for i, x in enumerate(made)] + [(10_100, None)], "doc_id long, text string"))
+    found = {r.doc_id: r.gold_snippet for r in groundtruth.snippets(docs).collect()}
+    want = {r.doc_id: s for r in docs.collect() if (s := brute_snippet(r.text or "", r.doc_id)) is not None}
+    assert found == want and len(found) > 50
+    assert all(120 <= len(x) <= 400 for x in found.values())
 
 
 def test_question_rules(spark):

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill import queries
 
@@ -24,7 +25,7 @@ def near(x, y):
 
 
 def test_edit_similarity(spark, sf):
-    contexts, references = (x.collect() for x in queries._whole_contexts(spark, sf))
+    contexts, references = (x.collect() for x in queries._contexts(spark, sf, F.col))
     gold = {r.query_id: r.reference_text for r in references}
     assert max(len(r.text) for r in contexts) > 120 and max(map(len, gold.values())) > 120
     hits = {}
@@ -40,4 +41,4 @@ def test_edit_similarity(spark, sf):
 def test_stream_tokens(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     want = sorted((r.conv_id, r.turn, re.sub("[^A-Za-z ]", "", r.text) + "!" * (r.turn % 3 == 0)) for r in turns)
-    assert sorted(map(tuple, queries.QUERIES["stream_tokens_whole"](spark, sf).collect())) == want
+    assert sorted(map(tuple, queries.QUERIES["stream_tokens"](spark, sf).collect())) == want
