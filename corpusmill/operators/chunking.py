@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import chunk_uid
+from corpusmill.sources.shared import materialize
 
 DEFAULT_SEPARATORS = ("\n\n", "\n", " ", "")
 LEGAL_SEPARATORS = ("\nArticle ", "\nCHAPTER ", *DEFAULT_SEPARATORS)
@@ -189,10 +190,10 @@ def chunk(docs: DataFrame, strategies: list[str] | list[ChunkSpec], keep: tuple[
 def global_index(rows: DataFrame, *order: str) -> DataFrame:
     """rows with ``idx``, their number from 0 in the given order.
 
-    Sorted ranges are numbered on their own and shifted by the sizes of those
+    Sorted ranges are written, numbered on their own and shifted by the sizes of those
     before them, so no task sees more than its range.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     sizes = ranged.groupBy("_range").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

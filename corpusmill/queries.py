@@ -69,6 +69,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id").distinct()
 
 
+def _digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
 # -- text and chunks --------------------------------------------------------
 
 
@@ -84,7 +88,7 @@ def tokenize_counts(spark, d):
 
 @query
 def chunk_line_merge(spark, d):
-    return chunks_of(spark, d).select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return _digests(chunks_of(spark, d))
 
 
 @query
@@ -94,7 +98,7 @@ def chunk_uids(spark, d):
 
 @query
 def chunk_para_merge(spark, d):
-    return chunks_of(spark, d, "para_nn_merge").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"))
+    return _digests(chunks_of(spark, d, "para_nn_merge"))
 
 
 @query
@@ -114,11 +118,7 @@ def chunk_stats_all_strategies(spark, d):
 
 @query
 def chunk_recursive_500(spark, d):
-    return chunks_of(spark, d, "len_500_o50").select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
-
-
-def _digests(chunks: DataFrame) -> DataFrame:
-    return chunks.select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return _digests(chunks_of(spark, d, "len_500_o50"))
 
 
 @query
@@ -148,12 +148,12 @@ def chunk_recursive_paragraphs(spark, d):
 
 @query
 def chunk_recursive_legal(spark, d):
-    return chunks_of(spark, d, "rec_legal_markers").select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return _digests(chunks_of(spark, d, "rec_legal_markers"))
 
 
 @query
 def chunk_char_nn(spark, d):
-    return chunks_of(spark, d, "char_nn_only").select("doc_id", "pos", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return _digests(chunks_of(spark, d, "char_nn_only"))
 
 
 @query
@@ -608,7 +608,7 @@ def pairs_kept_summary(spark, d):
 
 @query
 def pairs_neighbours_summary(spark, d):
-    """The chosen pairs of the first two chunkings with the chunks around each result."""
+    """The chosen pairs with the chunks around each result."""
     pairs = campaign.PAIRS
     lists = {s: strategy_lists(spark, d)[s] for s in campaign.strategies_of(pairs)}
     rows = materialize(campaign.neighbour_rankings(lists, pairs), "neighbour-rankings")
@@ -920,4 +920,4 @@ def finished_cells(spark, d):
 
 @query
 def default_chunks(spark, d):
-    return chunking.chunk(documents(spark, d), [chunking.DEFAULT]).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"))
+    return _digests(chunking.chunk(documents(spark, d), [chunking.DEFAULT]))

@@ -48,6 +48,25 @@ def test_merges_lose_nothing(text, size):
         assert "".join("".join(p.split()) for p in merged(text, size)) == "".join(text.split())
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXT, st.integers(8, 60))
+def test_merged_paragraphs_equal_brute_force(text, size):
+    """Paragraphs one by one: a batch goes on as long as the joined text fits."""
+    want, batch = [], []
+    for part in filter(None, (p.strip() for p in text.split("\n\n"))):
+        if len("\n\n".join([*batch, part])) <= size:
+            batch.append(part)
+            continue
+        if batch:
+            want.append("\n\n".join(batch))
+        if len(part) > size:
+            want += c.recursive(part, size, 0)
+            batch = []
+        else:
+            batch = [part]
+    assert c.merged_paragraphs(text, size) == want + (["\n\n".join(batch)] if batch else [])
+
+
 def test_legal_markers_come_first():
     text = "x" * 30 + "\nArticle 1 " + "y" * 30
     assert c.recursive(text, 45, 0, c.LEGAL_SEPARATORS) == ["x" * 30, "Article 1 " + "y" * 30]
