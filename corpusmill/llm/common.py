@@ -5,7 +5,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,19 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to a few rows, so that derived arrays stay small."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, mb: float = 32) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to a few rows and, unless one row has more, a few MB of text, so that derived arrays stay small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        size = np.zeros(batch.num_rows)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            most = (ends[start - 1] if start else 0) + mb * 1e6
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, most, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -16,7 +16,8 @@ over the documents for each block, so what is broadcast has a fixed bound.
 
 A null or empty text overlaps nothing. Several rows of a doc_id or item_id are searched
 each; a document's overlaps with an item are told once, the longest, then the
-first. Null ids stay null.
+first. Null ids stay null. Very long texts are searched whole; an empty table of documents or items gives no
+rows; of documents only doc_id and text are read, of items item_id and text, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ labels must be small, since prototypes are broadcast.
 
 A null or empty text, or one without a letter, is ``und`` with score 0. With
 nothing to learn from, every text is. A language whose texts have no trigram isn't learned. Ties go to the alphabetically first
-language. A null doc_id counts as the empty text for held_out.
+language. A null doc_id counts as the empty text for held_out. Very long texts are read whole, repeated rows are predicted each,
+an empty table gives no rows, and columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations

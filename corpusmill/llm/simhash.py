@@ -24,7 +24,8 @@ partial aggregate):
 
 Nulls, empty texts and texts without a word have fingerprint zero and are
 linked like any other. Repeated rows give repeated results. A null doc_id
-never becomes a component id unless all ids of the component are null.
+never becomes a component id unless all ids of the component are null. Very long texts are read whole,
+an empty table gives no rows, and columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -125,3 +125,14 @@ def test_every_overlap_with_a_long_item_is_found(n):
     for text in damaged(item, n, n // 5):
         assert [r[0] for r in whole.overlaps(text)] == [1], text
         assert [r[0] for r in part.overlaps(text)] == [1], text
+
+
+def test_clashing_columns_ties_and_repeated_rows(spark):
+    passage = " ".join(ITEMS[1])
+    docs = spark.createDataFrame([(1, f"{passage} between {passage}", 9, 9.0), (1, f"{passage} between {passage}", 9, 9.0), (2, "nothing of it here", 9, 9.0)], "doc_id long, text string, item_id int, similarity double")
+    items = spark.createDataFrame([(5, passage, 1), (5, passage, 1), (6, passage, 1), (None, passage, 1)], "item_id long, text string, doc_id int")
+    rows = sorted((tuple(r) for r in dc.overlaps(docs, items).collect()), key=str)
+    one = [(1, i, 0, 0, 40, 40, 1.0) for i in (5, 6, None)]  # of two equal overlaps the first, of two equal items one
+    assert rows == sorted(one * 2, key=str)
+    assert [r.doc_id for r in dc.clean(docs.select("doc_id", "text"), items).collect()] == [2]
+    assert dc.overlaps(docs, items.where("false")).count() == dc.overlaps(docs.where("false"), items).count() == 0

@@ -136,3 +136,17 @@ def test_near_duplicates_are_rows(spark, sf):
     for _, stage in cp.STAGES[1:]:
         docs = stage(spark, docs, sf)
     assert sorted({r.doc_id or 0 for r in docs.collect()}) == [0, 6, 7, 8]
+
+
+def test_very_long_texts_and_clashing_columns(spark, sf):
+    long = " ".join(f"word{i % 977} und so weiter {i}" for i in range(20_000)) + " mail jane.doe@example.org now"
+    rows = [(1, long, "en", "s", len(long), 0.5, 7), (2, "a short text of its own, with words", "en", "s", 35, 0.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, h1 double, times int")
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == list(cp.COLUMNS), name
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert set(kept) == {1, 2} and kept[1].text.endswith(" mail [email] now") and kept[1].n_chars == len(kept[1].text)
+    assert kept[1].text.startswith(long[:1000])
+    sizes = {r.doc_id: r.doc_tokens for r in cp.pack(spark, docs, sf).collect()}
+    assert sizes[1] > 60_000

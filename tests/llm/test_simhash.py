@@ -107,3 +107,11 @@ def test_a_component_without_ids_and_an_empty_table(spark):
     docs = spark.createDataFrame([(None, "only nulls")], "doc_id long, text string")
     assert s.op5(docs).first().component_id is None
     assert s.op5(docs.where("false")).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(3, long), (2, long), (7, long + " end"), (9, "short and different")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in s.op5(docs).collect()}
+    assert rows[3].fingerprint == rows[2].fingerprint == f"{brute_fingerprint(long):016x}"
+    assert [rows[i].component_id for i in (3, 2, 7, 9)] == [2, 2, 2, 9]
