@@ -60,9 +60,9 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, pii.BATCH):
             bodies = strings(batch.column(1))
-            found = [pii.spans(x, tags, pii.base_spans(x)) for x, tags in zip(bodies, shared.value.tags(bodies), strict=True)]
+            found = [pii.spans(x, own, pii.base_spans(x)) for x, own in zip(bodies, shared.value.decoded(bodies), strict=True)]
             texts, sizes = batch.column(1).to_pylist(), batch.column(4).to_pylist()
             for i, spans in enumerate(found):
                 if spans:
