@@ -44,7 +44,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1
 HIDDEN = 10
 INNER, MARGIN = 1000, 24
-BATCH = 512
+BATCH = 1024
 #: Windows whose result a task remembers.
 REMEMBERED = 1 << 16
 SAMPLE = 2000
@@ -163,18 +163,21 @@ def classes(text: str) -> np.ndarray:
 
 
 class Network:
-    """Two LSTMs over embedded characters, linear emissions, CRF transitions."""
+    """Two LSTMs over embedded characters, linear emissions, CRF transitions.
+
+    Input and forget gates are coupled (input = 1 - forget; Greff et al. 2017), which is as accurate with a quarter less work.
+    """
 
     def __init__(self, seed: int = 11, hidden: int = HIDDEN) -> None:
         rng = np.random.default_rng(seed)
         self.hidden = hidden
         self.p = {"start": np.zeros(TAGS), "move": np.eye(TAGS) - 0.5, "bias": np.array([1.0] + [0.0] * (TAGS - 1)), "out": rng.normal(0, 0.3, (2 * hidden, TAGS))}
         for d in "fb":
-            self.p[f"in_{d}"] = rng.normal(0, 0.3, (CLASSES, 4 * hidden))
+            self.p[f"in_{d}"] = rng.normal(0, 0.3, (CLASSES, 3 * hidden))
             self.p[f"in_{d}"][:, :hidden] += 0.5  # forget gates begin open
-            self.p[f"rec_{d}"] = rng.normal(0, 0.3, (hidden, 4 * hidden))
+            self.p[f"rec_{d}"] = rng.normal(0, 0.3, (hidden, 3 * hidden))
 
-    # training: arrays are (time, batch, features); gates in order forget, input, output, candidate
+    # training: arrays are (time, batch, features); gates in order forget, output, candidate
 
     def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
         h = self.hidden
@@ -183,12 +186,12 @@ class Network:
         out, kept = np.empty((*x.shape, h)), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             z = rows[t] + state @ rec
-            gates = 0.5 + 0.5 * np.tanh(0.5 * z[:, : 3 * h])
-            cand = np.tanh(z[:, 3 * h :])
+            gates = 0.5 + 0.5 * np.tanh(0.5 * z[:, : 2 * h])
+            cand = np.tanh(z[:, 2 * h :])
             before, prior = cell, state
-            cell = gates[:, :h] * cell + gates[:, h : 2 * h] * cand
+            cell = cand + gates[:, :h] * (cell - cand)
             th = np.tanh(cell)
-            state = gates[:, 2 * h :] * th
+            state = gates[:, h:] * th
             out[t] = state
             kept.append((t, gates, cand, before, th, prior))
         return out, kept
@@ -199,9 +202,9 @@ class Network:
         dh = dc = np.zeros((x.shape[1], h))
         for t, gates, cand, before, th, prior in reversed(kept):
             dh = dh + grad[t]
-            f, i, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
+            f, o = gates[:, :h], gates[:, h:]
             dc = dc + dh * o * (1 - th * th)
-            dz = np.concatenate([dc * before * f * (1 - f), dc * cand * i * (1 - i), dh * th * o * (1 - o), dc * i * (1 - cand * cand)], axis=1)
+            dz = np.concatenate([dc * (before - cand) * f * (1 - f), dh * th * o * (1 - o), dc * (1 - f) * (1 - cand * cand)], axis=1)
             g_rec += prior.T @ dz
             np.add.at(g_rows, x[t], dz)
             dh, dc = dz @ rec.T, dc * f
@@ -276,7 +279,7 @@ class Tagger:
     def __init__(self, net: Network) -> None:
         h = self.hidden = net.hidden
         # Negated, as a sigmoid is 1 / (1 + exp(-x)); a tanh is 2 * sigmoid(2 x) - 1. States are kept halved, so what reads them is doubled.
-        scale = np.r_[np.full(3 * h, -1.0), np.full(h, -2.0)]
+        scale = np.r_[np.full(2 * h, -1.0), np.full(h, -2.0)]
         self.rows = np.ascontiguousarray(np.concatenate([net.p[f"in_{d}"] * scale for d in "fb"]).T.astype(np.float32))
         self.rec = [np.ascontiguousarray((2 * net.p[f"rec_{d}"] * scale).T.astype(np.float32)) for d in "fb"]
         over = 2 * (net.p["out"][:, 1:] - net.p["out"][:, :1])  # only differences from the outside tag matter
@@ -296,7 +299,7 @@ class Tagger:
         em = (np.empty if sizes[-1] == steps else np.zeros)((2, steps, TAGS - 1, n), np.float32)
         x = np.empty((2, n), np.intp)
         state, cell = np.zeros((h, 2, n), np.float32), np.zeros((h, 2, n), np.float32)
-        whole, prod, temp = np.empty((4 * h, 2, n), np.float32), np.empty((4 * h, 2, n), np.float32), np.empty((h, 2, n), np.float32)
+        whole, prod, temp = np.empty((3 * h, 2, n), np.float32), np.empty((3 * h, 2, n), np.float32), np.empty((h, 2, n), np.float32)
         with np.errstate(over="ignore"):
             for t in range(steps):
                 m = int(active[t])
@@ -315,9 +318,9 @@ class Tagger:
                 np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)
-                forget, into, out, cand = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
+                forget, out, cand = z[:h], z[h : 2 * h], z[2 * h :]
                 cand -= 0.5
-                cand *= into
+                c -= cand
                 c *= forget
                 c += cand  # half the cell
                 np.multiply(c, -4, out=e)
@@ -416,9 +419,6 @@ class Tagger:
                         out[w[column]].append((tag - 1, c + shift, d + shift, score, c + shift == 0, d + shift == size))
         return [tuple(x) for x in out]
 
-    def tags(self, bodies: list[str]) -> list[list[tuple[int, int, int]]]:
-        return self.decoded(bodies)
-
     def decoded(self, bodies: list[str], inner: int = INNER) -> list[list[tuple[int, int, int]]]:
         """(start, kind, end) of each text's spans, reconciled over its windows."""
         data = np.concatenate([np.zeros(0, np.uint8), *(classes(x) for x in bodies)])
@@ -596,7 +596,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, BATCH):
             bodies = strings(batch.column(1))
             base = [base_spans(x) for x in bodies]
             every = [spans(*x) for x in zip(bodies, tagger.decoded(bodies), base, strict=True)]

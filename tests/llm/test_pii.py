@@ -110,8 +110,8 @@ def plain_emissions(net, x):
         state, cell, out = np.zeros(h), np.zeros(h), []
         for c in x if d == "f" else x[::-1]:
             z = net.p[f"in_{d}"][c] + state @ net.p[f"rec_{d}"]
-            cell = sigmoid(z[:h]) * cell + sigmoid(z[h : 2 * h]) * np.tanh(z[3 * h :])
-            state = sigmoid(z[2 * h : 3 * h]) * np.tanh(cell)
+            cell = sigmoid(z[:h]) * cell + (1 - sigmoid(z[:h])) * np.tanh(z[2 * h :])
+            state = sigmoid(z[h : 2 * h]) * np.tanh(cell)
             out.append(state)
         sides.append(out if d == "f" else out[::-1])
     em = np.concatenate(sides, axis=1) @ net.p["out"] + net.p["bias"]
