@@ -123,6 +123,11 @@ def query(x: str | Column) -> Column:
     return F.concat(F.lit("query: "), _col(x))
 
 
+def key_text(x: str | Column) -> Column:
+    """An id as text; null as the empty text."""
+    return F.coalesce(_col(x).cast("string"), F.lit(""))
+
+
 def block_text(x: str | Column) -> Column:
     """Plain text of a stream token that may be a JSON list of text blocks."""
     x = _col(x)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ _WORD = re.compile(r"[^\W]+")
 
 
 class Embedder(Protocol):
+    """Vectors of texts. A model that wants texts marked has ``passage_prefix`` and ``query_prefix``."""
+
     dimensions: int
 
     def embed(self, texts: list[str]) -> np.ndarray: ...
@@ -52,8 +55,15 @@ class HashingEmbedder:
         return out
 
 
-def embed(rows: DataFrame, text: str, embedder: type[Embedder] = HashingEmbedder, vector: str = "vector") -> DataFrame:
-    """rows with a vector column; the model is loaded once in a task."""
+class PassageScorer(Protocol):
+    """A model that scores pairs of question and passage, such as a cross-encoder."""
+
+    def score(self, questions: list[str], passages: list[str]) -> list[float]: ...
+
+
+def embed(rows: DataFrame, text: str, embedder: type[Embedder] = HashingEmbedder, vector: str = "vector", kind: str = "passage") -> DataFrame:
+    """rows with a vector column; the model is loaded once in a task. kind: ``passage`` or ``query``."""
+    prefix = getattr(embedder, f"{kind}_prefix", "")
     schema = T.StructType([*rows.schema.fields, T.StructField(vector, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +71,7 @@ def embed(rows: DataFrame, text: str, embedder: type[Embedder] = HashingEmbedder
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                found = np.asarray(model.embed([x or "" for x in batch.column(text).to_pylist()]), float)
+                found = np.asarray(model.embed([prefix + (x or "") for x in batch.column(text).to_pylist()]), float)
                 ends = pa.array(np.arange(len(found) + 1) * model.dimensions, pa.int32())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], schema.names)
 
@@ -75,6 +85,20 @@ def coverage(question: str | Column, passage: str | Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(asked, there)) / F.nullif(F.size(asked), F.lit(0)), F.lit(0.0))
 
 
+def batched(model: type[PassageScorer]) -> Callable[[str | Column, str | Column], Column]:
+    """A scorer out of a model; it is loaded once in a worker and gets a batch of pairs at a time, passages cut as for coverage()."""
+    held: list[PassageScorer] = []
+
+    def run(questions: pd.Series, passages: pd.Series) -> pd.Series:
+        if not held:
+            held.append(model())
+        return pd.Series(held[0].score(questions.fillna("").tolist(), passages.fillna("").tolist()), dtype=float)
+
+    scorer = F.pandas_udf(run, "double")
+    as_col = lambda x: F.col(x) if isinstance(x, str) else x
+    return lambda question, passage: scorer(as_col(question), F.substring(as_col(passage), 1, PASSAGE_CHARS))
+
+
 def template_question(snippet: str | Column, words: int = 8) -> Column:
     """Default generator: a question that quotes the snippet's first words."""
     snippet = F.col(snippet) if isinstance(snippet, str) else snippet

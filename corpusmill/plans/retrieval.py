@@ -94,7 +94,7 @@ class Lists:
 
     @cached_property
     def query_vectors(self) -> DataFrame:
-        return materialize(embed(self.queries.select("query_id", "question"), "question", self.corpus.embedder), "queries")
+        return materialize(embed(self.queries.select("query_id", "question"), "question", self.corpus.embedder, kind="query"), "queries")
 
     @cached_property
     def dense(self) -> DataFrame:
