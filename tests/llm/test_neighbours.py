@@ -44,6 +44,50 @@ def test_recall_at_the_production_factor(clusters):
     assert recall >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["even", "clusters"])
+def test_recall_of_the_operator_at_the_production_factor(spark, kind):
+    """Many shards in a task, whose lists bound each other's searches, against all inner products."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    if kind == "clusters":
+        x = rng.normal(size=(40, 64))[rng.integers(0, 40, 20_000)] + 0.25 * x
+    x *= rng.uniform(0.5, 2, (20_000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 200 = 0")
+    got = {}
+    for r in nb.nearest(df, asked, shard=1000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, 20_000, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.95
+
+
+def test_recall_on_the_given_table(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet")
+    ids, x = zip(*((r.vec_id, r.embedding) for r in df.collect()), strict=True)
+    ids, x = np.array(ids), np.array(x)
+    got = {}
+    for r in nb.nearest(df, shard=256).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = []
+    for q in got:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits.append(len(got[q] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.95
+
+
+def test_blocks_of_queries_give_the_same(spark):
+    x = np.random.default_rng(6).normal(size=(500, 4))
+    df = spark.createDataFrame([(i, v.tolist(), i, i) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rank int, query_id int")
+    one, many = (sorted(map(tuple, nb.nearest(df, factor=1.0, shard=64, block_mb=b).collect())) for b in (16, 0.0003))
+    assert one == many and len(one) == 25 * 20
+
+
 def test_larger_factors_compare_less():
     x = np.random.default_rng(3).normal(size=(3000, 4))
     points = np.c_[x, np.zeros(len(x))]
