@@ -9,15 +9,17 @@ their prefixes of 3 to 10 bytes, valued ``1 + log(times)``. Their document
 counts among labelled rows are gathered by a shuffle; the ``FEATURES`` with the
 largest chi-square among those more frequent in toxic rows are kept.
 
-Labels say only toxic or not. Toxic rows get grades 1 to 3 by terciles of the number of
-kept features' occurrences, clean rows grade 0, so severity grows with how much of a
-text is toxic.
-
-The fit reads at most ``TRAIN`` labelled rows, taken by a hash of doc_id; the
-bound is what keeps it the same at any corpus size. All documents are scored, over
-their whole texts. A null or empty text has no features. Null labels or ids
-teach nothing; several labels of a doc_id count as toxic if one is.
-Without toxic or without clean labels, every severity is 0.
+Where labels have a column ``severity`` (0 to ``GRADES`` - 1), it gives the grades. Labels that say only toxic or not
+have two grades and no more; toxic rows then stand for grades 1 to 3 by terciles of the number of
+kept features' occurrences, so severity grows with how much of a text is toxic, but its steps above 0 are
+a convention of this module and nothing that labels confirm.
+
+The fit reads about ``TRAIN`` labelled rows, taken by a hash of doc_id (and of the text, where a doc_id
+has many rows); the bound is what keeps it the same at any corpus size, as do the bounds on features, which are chosen
+by counts over all those rows. All documents are scored, over
+their whole texts, very long ones too. A null or empty text has no features, an empty table gives no rows. Null labels or ids
+teach nothing; several labels of a doc_id count as toxic if one is, with the largest severity. Repeated rows are scored each,
+and of columns only those named here are read. Without toxic or without clean labels, every severity is 0.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def word_features(word: bytes) -> list[bytes]:
 
 
 def gather(train: DataFrame) -> DataFrame:
-    """(feature, clean, toxic): numbers of rows that have the feature. train: doc_id, text, toxic."""
+    """(feature, clean, toxic): numbers of rows that have the feature. train: doc_id, text, toxic, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -151,14 +153,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple[list[bytes], Ordinal] | None:
     """(features, model); None where labels don't show both kinds."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
-    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    graded = F.col("severity").cast("int") if "severity" in labels.columns else F.lit(None).cast("int")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), graded.alias("grade"))
+    known = known.where("doc_id is not null and (toxic is not null or grade is not null)")
+    known = known.groupBy("doc_id").agg(F.max((F.coalesce(F.col("toxic") > 0, F.lit(False)) | F.coalesce(F.col("grade") > 0, F.lit(False))).cast("int")).alias("toxic"), F.max("grade").alias("grade"))
     share = min(1.0, train / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    sample = texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")  # about ``train`` rows of labels
+    known = F.broadcast(known)  # about ``train`` rows of labels
+    found = texts(docs).select("doc_id").join(known, "doc_id").count()
+    sample = texts(docs).join(known, "doc_id").select("doc_id", "text", "toxic", "grade")
+    if found > 2 * train:  # ids with very many rows
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < int(train / found * 1_000_003))
     features = select(gather(sample), sizes[0], sizes[1])
     if not features:
         return None
@@ -168,13 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple[list[by
         for batch in pieces(batches):
             found = [vector(x) for x in raw(batch.column(1))]
             columns = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), *columns], ["toxic", "ids", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), *columns], ["toxic", "grade", "ids", "times"])
 
-    rows = sample.mapInArrow(run, "toxic int, ids array<int>, times array<int>").toArrow().to_pylist()
+    rows = sample.mapInArrow(run, "toxic int, grade int, ids array<int>, times array<int>").toArrow().to_pylist()
     toxic = np.array([r["toxic"] for r in rows])
     total = np.array([sum(r["times"]) for r in rows])
     cuts = np.quantile(total[toxic == 1], [(k + 1) / (GRADES - 1) for k in range(GRADES - 2)]) if toxic.any() else []
     grades = np.where(toxic == 1, 1 + sum((total > c).astype(int) for c in cuts), 0)
+    own = np.array([-1 if r["grade"] is None else r["grade"] for r in rows])
+    grades = np.where(own >= 0, np.minimum(own, GRADES - 1), grades)
     row = np.repeat(np.arange(len(rows)), [len(r["ids"]) for r in rows])
     column = np.array([i for r in rows for i in r["ids"]], np.int64)
     value = 1 + np.log(np.array([t for r in rows for t in r["times"]], float))
