@@ -195,15 +195,21 @@ def stored_or_live(queries: DataFrame, stored: DataFrame, live: DataFrame) -> Da
 def grid(lists: dict[str, Lists], retrievers: list[str], k: int = 10, pool: int | None = None, scorer: Scorer = coverage, strict: bool = False) -> DataFrame:
     """strategy, retriever, query_id, doc_id, pos, rank, score: all cells in one relation.
 
-    The result is that of ``Lists.run`` for each cell. A candidate is scored once for all reranked retrievers of its
-    strategy, and all of them are ranked and padded by one window. strict: fewer than k rows for a query are an error.
+    The result is that of ``Lists.run`` for each cell. All strategies are one relation, so the number of plans is that of the
+    retrievers; a candidate is scored once for all reranked retrievers, and all cells are ranked and padded by
+    one window. strict: fewer than k rows for a query are an error.
     """
     return cells({strategy: (own, list(retrievers)) for strategy, own in lists.items()}, k, pool, scorer, strict)
 
 
 def cells(wanted: dict[str, tuple[Lists, list[str]]], k: int = 10, pool: int | None = None, scorer: Scorer = coverage, strict: bool = False) -> DataFrame:
     """grid() with retrievers of its own for each strategy."""
-    rows = reduce(DataFrame.unionAll, (_cells_of(own, checked(names), k, pool or max(POOL, 5 * k), scorer).select(F.lit(s).alias("strategy"), "*") for s, (own, names) in wanted.items()))
+    by_retriever: dict[str, list[str]] = {}
+    for strategy, (_, names) in wanted.items():
+        for r in checked(names):
+            by_retriever.setdefault(r, []).append(strategy)
+    rows = _cells_of(Several({s: own for s, (own, _) in wanted.items()}), by_retriever, k, pool or max(POOL, 5 * k), scorer)
+    rows = rows.select("query_id.strategy", "retriever", "query_id.query_id", "doc_id.doc_id", "pos", "rank", "score")
     if strict:
         rows = materialize(rows, "cells")
         found = rows.groupBy("strategy", "retriever", "query_id").agg(F.count("*").alias("n")).where(F.col("n") == k).groupBy("strategy", "retriever").count().collect()
@@ -215,21 +221,96 @@ def cells(wanted: dict[str, tuple[Lists, list[str]]], k: int = 10, pool: int | N
     return rows
 
 
-def _cells_of(own: Lists, retrievers: list[str], k: int, pool: int, scorer: Scorer) -> DataFrame:
+class Several(Lists):
+    """Lists of several strategies as one: query_id and doc_id are structs with the strategy, so nothing of one meets anything of another."""
+
+    def __init__(self, lists: dict[str, Lists], only: tuple[str, ...] | None = None) -> None:
+        self.lists, self.only = lists, only or tuple(lists)
+
+    def _joined(self, name: str, stored: bool = False) -> DataFrame:
+        def tagged(strategy: str) -> DataFrame:
+            rows, tag = getattr(self.lists[strategy], name), F.lit(strategy).alias("strategy")
+            return rows.withColumns({c: F.struct(tag, c) for c in ("query_id", "doc_id") if c in rows.columns})
+
+        rows = reduce(DataFrame.unionByName, (tagged(s) for s in self.only))
+        return materialize(rows, name) if stored and len(self.only) > 1 else rows
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        return self._joined("queries").select("query_id", "question")
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return self._joined("chunks")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return self._joined("vectors")
+
+    @cached_property
+    def query_vectors(self) -> DataFrame:
+        return self._joined("query_vectors")
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        return self._joined("dense", stored=True)
+
+    @cached_property
+    def lexical(self) -> DataFrame:
+        return self._joined("lexical", stored=True)
+
+    def part(self, strategies: list[str]) -> Lists:
+        """A view of some strategies, with the same stored lists."""
+        if set(strategies) == set(self.only):
+            return self
+        return _View(self, strategies)
+
+
+class _View(Lists):
+    """Some strategies of Several."""
+
+    def __init__(self, whole: Several, strategies: list[str]) -> None:
+        self.whole, self.strategies = whole, strategies
+
+    def _some(self, rows: DataFrame, key: str = "query_id") -> DataFrame:
+        return rows.where(F.col(f"{key}.strategy").isin(self.strategies))
+
+    @property
+    def dense(self) -> DataFrame:
+        return self._some(self.whole.dense)
+
+    @property
+    def lexical(self) -> DataFrame:
+        return self._some(self.whole.lexical)
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self._some(self.whole.vectors, "doc_id")
+
+    @property
+    def query_vectors(self) -> DataFrame:
+        return self._some(self.whole.query_vectors)
+
+
+def _cells_of(own: Several, by_retriever: dict[str, list[str]], k: int, pool: int, scorer: Scorer) -> DataFrame:
     key = ("retriever", *fusion.KEY)
-    named = lambda rows, name: rows.select(F.lit(name).alias("retriever"), *fusion.KEY, "rank")
-    parts = [named(own.base(r, k), r) for r in retrievers if not is_reranked(r)]
-    if again := [r for r in retrievers if is_reranked(r)]:
-        candidates = materialize(reduce(DataFrame.unionAll, (named(own.base(r, pool), r) for r in again)), "candidates")
-        texts = candidates.select(*fusion.KEY).distinct().join(own.chunks, ["doc_id", "pos"]).join(own.queries.select("query_id", "question"), "query_id")
+    named = lambda r, n: own.part(by_retriever[r]).base(r, n).select(F.lit(r).alias("retriever"), *fusion.KEY, "rank")
+    parts = [named(r, k) for r in by_retriever if not is_reranked(r)]
+    if again := [r for r in by_retriever if is_reranked(r)]:
+        candidates = materialize(reduce(DataFrame.unionAll, (named(r, pool) for r in again)), "candidates")
+        texts = candidates.select(*fusion.KEY).distinct().join(own.chunks, ["doc_id", "pos"]).join(own.queries, "query_id")
         scores = texts.select(*fusion.KEY, F.round(scorer("question", "text"), 8).alias("score"))
         rank = F.row_number().over(Window.partitionBy("retriever", "query_id").orderBy(F.col("score").desc(), "former", "doc_id", "pos"))
         ranked = candidates.withColumnRenamed("rank", "former").join(scores, list(fusion.KEY)).withColumn("rank", rank).where(F.col("rank") <= k)
         parts.append(ranked.select(*key, "rank"))
     rows = reduce(DataFrame.unionAll, parts)
-    names = own.queries.sparkSession.createDataFrame([(r,) for r in retrievers], "retriever string")
-    pads = [fusion.head(x, PAD).crossJoin(F.broadcast(names)).select(*key, F.col("rank").cast("long") + F.lit((i + 1) << 32)) for i, x in enumerate(own.pads(retrievers))]  # a row for each retriever, twenty at most
-    every = reduce(DataFrame.unionAll, [rows.select(*key, F.col("rank").cast("long").alias("seen")), *pads])
+    cells_ = [(s, r) for r, strategies in by_retriever.items() for s in strategies]
+    names = rows.sparkSession.createDataFrame(cells_, "strategy string, retriever string")  # the cells of the grid, a few hundred
+
+    def pad(x: DataFrame, i: int) -> DataFrame:
+        return fusion.head(x, PAD).join(F.broadcast(names), F.col("query_id.strategy") == F.col("strategy")).select(*key, F.col("rank").cast("long") + F.lit((i + 1) << 32))
+
+    every = reduce(DataFrame.unionAll, [rows.select(*key, F.col("rank").cast("long").alias("seen")), *(pad(x, i) for i, x in enumerate(own.pads(list(by_retriever))))])
     firsts = every.groupBy(*key).agg(F.min("seen").alias("seen"))
     rank = F.row_number().over(Window.partitionBy("retriever", "query_id").orderBy("seen", "doc_id", "pos"))
     return firsts.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, "rank", (-F.col("seen")).cast("double").alias("score"))
