@@ -84,10 +84,10 @@ def keepers(grouped: DataFrame, newest: Column | str, key: str = "doc_id") -> Da
     return best.select(key, "component")
 
 
-def statistics(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents before and after, groups of several, dropped documents, and pairs of different texts above the threshold."""
+def statistics(grouped: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Documents before and after, groups of several, dropped documents, and, where they are given, pairs of different texts above the threshold."""
     sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
     counts = sizes.agg(
         F.sum("n").alias("before"), F.count("*").alias("after"), F.count_if(F.col("n") > 1).alias("groups"), (F.sum("n") - F.count("*")).alias("dropped")
     )
-    return counts.crossJoin(pairs.agg(F.count("*").alias("pairs")))  # one row by one row
+    return counts if pairs is None else counts.crossJoin(pairs.agg(F.count("*").alias("pairs")))  # one row by one row
