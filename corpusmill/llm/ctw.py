@@ -8,16 +8,19 @@ so a node's own estimate has the weight ``P_e / (2 P_w)`` and the rest goes to t
 one byte deeper. Counts and weights are those after all training documents,
 so a text's score doesn't depend on the order of documents.
 
-Counts of byte sequences come from partial counts of each partition, summed by
-a shuffle. The trees below two context bytes lie in one partition each and are
+Texts are read once, in chunks of about ``CHUNK_MB``; counts of byte sequences come from the
+counts of each chunk, summed by a shuffle. The trees below two context bytes lie in one partition each and are
 weighted there; the two top levels are sums over at most 65,280 rows.
 
 All counted nodes are used. Training counts of byte sequences stay in a written table and
-are never collected; only depths 0 and 1 are broadcast. Documents are read in chunks of about
-``CHUNK_MB`` of text, and the distinct byte sequences of each chunk go by a shuffle to the
+are never collected; only depths 0 and 1 are broadcast. The distinct byte sequences of each chunk go by a shuffle to the
 partition that holds their subtree, which answers with their log probabilities; these go to
 the chunk's texts by another shuffle. What a partition holds has a bound set from the counted sequences.
 
+Byte sequences move packed: a row holds up to ``BLOB`` of those with the same two nearest bytes, so
+the rows that Spark shuffles and sorts are thousands a chunk, not one for each sequence. Texts move
+compressed, about ``TEXTS_MB`` of them in a row.
+
 The baseline needs the training count of every token. The most frequent
 tokens (``HEAD`` at most, each of at most ``HEAD_BYTES`` bytes) are broadcast;
 all others are looked up by a join on the token, which is free of hot keys
@@ -33,7 +36,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +50,17 @@ DEPTH = 5
 #: Slots of the cache that is before a lookup; what it doesn't hold is looked up.
 SLOT_BITS = 22
 CHUNK_MB = 32
+TEXTS_MB = 0.25
+#: Rows hold up to some 100 kB, so pages and row groups are closed by bytes: what a task reads or writes at once stays small.
+WRITTEN = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 8, "parquet.page.size.row.check.min": 8, "parquet.enable.dictionary": False}
 #: Distinct training sequences in a partition of the model, about.
 PART = 300_000
+#: Codes in a packed row, at most.
+BLOB = 16_384
+#: Codes that are summed by one task, about, before they are distinct.
+SUMMED = 4_000_000
+#: Codes that are answered at once, about.
+ASKED = 1 << 19
 HEAD = 131_072
 HEAD_BYTES = 64
 #: Distinct tokens that a worker counts before it hands them on.
@@ -75,67 +87,158 @@ def contexts(text: bytes) -> Iterator[np.ndarray]:
         yield code
 
 
+# -- packed rows ------------------------------------------------------------
+
+KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+PAIR_BITS = 8 * (DEPTH - 1)
+
+
+def batch_of(schema: str, rows: int, **given: pa.Array) -> pa.RecordBatch:
+    """A batch with the columns of schema; those that aren't given are null."""
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, KINDS[kind]) for c, kind in fields], [c for c, _ in fields])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, the lowest first, as many as the largest number needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(blob: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(-1, size)
+    out = np.zeros((size, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def packed_rows(schema: str, codes: np.ndarray, counts: np.ndarray | None = None, chunk: int | None = None) -> pa.RecordBatch:
+    """Rows (pair, size, codes) of sorted codes, with their counts or chunk if given."""
+    pair = codes >> np.uint64(PAIR_BITS)
+    edges = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(codes)]
+    cuts = [(start, min(start + BLOB, b)) for a, b in pairwise(edges) for start in range(a, b, BLOB)]
+    low = codes & np.uint64((1 << PAIR_BITS) - 1)
+    given = {
+        "pair": pa.array([int(pair[a]) for a, _ in cuts], pa.int32()),
+        "size": pa.array([b - a for a, b in cuts], pa.int64()),
+        "codes": pa.array([packed(low[a:b]) for a, b in cuts], pa.binary()),
+    }
+    if counts is not None:
+        given["counts"] = pa.array([packed(counts[a:b]) for a, b in cuts], pa.binary())
+    if chunk is not None:
+        given["chunk"] = pa.array([chunk] * len(cuts), pa.int64())
+    return batch_of(schema, len(cuts), **given)
+
+
+def unpacked_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """(pair, codes, values of each name or None) of packed rows."""
+    for pair, size, codes, *values in zip(*(batch.column(c).to_pylist() for c in ("pair", "size", "codes", *names)), strict=True):
+        yield pair, unpacked(codes, size) | np.uint64(pair << PAIR_BITS), *(None if x is None else unpacked(x, size) for x in values)
+
+
 # -- counting ---------------------------------------------------------------
 
+#: A row has a token and its count, a chunk's packed codes and counts, or a chunk's compressed texts and the key of the first.
+CHUNKED = "token binary, n long, chunk long, pair int, size long, codes binary, counts binary, key long, texts binary"
+GRAMS = "pair int, size long, codes binary, counts binary"
 
-def partial_counts(docs: DataFrame) -> DataFrame:
-    """(token, code, n) of training documents: token counts have no code, code counts no token."""
+
+def compressed(doc_ids: pa.Array, bodies: list[bytes]) -> bytes:
+    """doc_id and text of some documents."""
+    batch = pa.RecordBatch.from_arrays([doc_ids, pa.array(bodies, pa.binary())], ["doc_id", "text"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def decompressed(blob: bytes) -> tuple[list[int | None], list[bytes]]:
+    return tuple(x.to_pylist() for x in pa.ipc.open_stream(blob).read_all().columns)
+
+
+def chunked(docs: DataFrame, chunk_mb: float) -> DataFrame:
+    """CHUNKED of documents: all texts, each chunk's distinct codes, and what training documents have of tokens and codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = chunk = TaskContext.get().partitionId() << 40
         tokens: Counter = Counter()
-        codes, waiting = _no_codes(), []
-        for batch in pieces(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                if held_out(doc_id):
-                    continue
-                tokens.update(text.translate(LOWER).split())
-                tokens[END] += 1
+        codes, new, unseen, waiting, size = _no_codes(), [], [], 0, 0
+        for batch in pieces(batches, mb=TEXTS_MB):
+            bodies = raw(batch.column(1))
+            yield batch_of(CHUNKED, 1, chunk=pa.array([chunk]), key=pa.array([key]), texts=pa.array([compressed(batch.column(0), bodies)], pa.binary()))
+            key += len(bodies)
+            for doc_id, text in zip(batch.column(0).to_pylist(), bodies, strict=True):
+                held = held_out(doc_id)
+                if not held:
+                    tokens.update(text.translate(LOWER).split())
+                    tokens[END] += 1
                 for x in contexts(text):
-                    waiting.append(_distinct(x, None) if len(x) >= CHUNK else (x, None))
-                if sum(len(x) for x, _ in waiting) >= CHUNK:
-                    codes, waiting = _merged(codes, waiting), []
+                    (unseen if held else new).append(x)
+                    waiting += len(x)
+                    if waiting >= CHUNK:
+                        codes, new, unseen, waiting = _merged(codes, new, unseen), [], [], 0
+                size += len(text)
             if len(tokens) >= HELD:
                 yield _token_rows(tokens)
                 tokens = Counter()
-        codes = _merged(codes, waiting)
+            if size >= chunk_mb * 1e6:
+                yield packed_rows(CHUNKED, *_merged(codes, new, unseen), chunk)
+                chunk, codes, new, unseen, waiting, size = key, _no_codes(), [], [], 0, 0
+        if size:
+            yield packed_rows(CHUNKED, *_merged(codes, new, unseen), chunk)
         if tokens:
             yield _token_rows(tokens)
-        if len(codes[0]):
-            none = pa.nulls(len(codes[0]), pa.binary())
-            yield pa.RecordBatch.from_arrays([none, pa.array(codes[0].astype(np.int64)), pa.array(codes[1])], ["token", "code", "n"])
 
-    return texts(docs).mapInArrow(run, "token binary, code long, n long")
+    return texts(docs).mapInArrow(run, CHUNKED)
 
 
 def _no_codes() -> tuple[np.ndarray, np.ndarray]:
     return np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
-def _distinct(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        codes, counts = np.unique(codes, return_counts=True)
-        return codes, counts.astype(np.int64)
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their summed counts."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(codes):
+        return codes, counts
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
     return codes[starts], np.add.reduceat(counts, starts)
 
 
-def _merged(held: tuple, waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    plain = [x for x, n in waiting if n is None]
-    parts = [held, *(p for p in waiting if p[1] is not None)]
-    if plain:
-        parts.append(_distinct(np.concatenate(plain), None))
-    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return _distinct(codes, counts) if len(codes) else (codes, counts)
+def _merged(held: tuple[np.ndarray, np.ndarray], new: list[np.ndarray], unseen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts with those of new codes; unseen ones, of held-out texts, count 0 times."""
+    parts = [held]
+    if new:
+        codes, counts = np.unique(np.concatenate(new), return_counts=True)
+        parts.append((codes, counts.astype(np.int64)))
+    if unseen:
+        codes = np.unique(np.concatenate(unseen))
+        parts.append((codes, np.zeros(len(codes), np.int64)))
+    return _added(parts)
 
 
 def _token_rows(tokens: Counter) -> pa.RecordBatch:
-    n = len(tokens)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(tokens), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(tokens.values()), pa.int64())],
-        ["token", "code", "n"],
-    )
+    return batch_of(CHUNKED, len(tokens), token=pa.array(list(tokens), pa.binary()), n=pa.array(list(tokens.values()), pa.int64()))
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """GRAMS, codes distinct and seen in training, from packed rows sorted by pair, all of a pair in one partition."""
+    held, waiting, size = _no_codes(), [], 0
+    for batch in pieces(batches):
+        for pair, codes, counts in unpacked_rows(batch, "counts"):
+            if size >= CHUNK:
+                held, waiting, size = _added([held, *waiting]), [], 0
+                if cut := int(np.searchsorted(held[0], np.uint64(pair << PAIR_BITS))):
+                    yield packed_rows(GRAMS, held[0][:cut], held[1][:cut])
+                    held = held[0][cut:], held[1][cut:]
+            seen = counts > 0
+            waiting.append((codes[seen], counts[seen].astype(np.int64)))
+            size += len(codes)
+    held = _added([held, *waiting])
+    if len(held[0]):
+        yield packed_rows(GRAMS, *held)
 
 
 # -- the model --------------------------------------------------------------
@@ -206,7 +309,7 @@ TOP_SCHEMA = "up int, zeros long, ones long, pw double"
 
 
 def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of depth 2 from rows (code, n) sorted by code, all of the same two nearest bytes in one partition."""
+    """Nodes of depth 2 from packed rows sorted by pair, all of a pair in one partition."""
 
     def top(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         *_, (_, keys, zeros, ones, (pw, _, _)) = built(codes, counts)
@@ -214,20 +317,17 @@ def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(up.astype(np.int32)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(pw)]
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in TOP_SCHEMA.split(", ")])
 
-    waiting, size = [_no_codes()], 0
-    for batch in batches:
-        waiting.append((column(batch, "code").astype(np.uint64), column(batch, "n")))
-        size += batch.num_rows
-        if size >= 200_000:
-            codes, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            pair = codes >> np.uint64(8 * (DEPTH - 1))
-            cut = np.searchsorted(pair, pair[-1])
-            if cut:
-                yield top(codes[:cut], counts[:cut])
-            waiting, size = [(codes[cut:], counts[cut:])], len(codes) - cut
-    codes, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
-    if len(codes):
-        yield top(codes, counts)
+    waiting, size, now = [], 0, None
+    for batch in pieces(batches):
+        for pair, codes, counts in unpacked_rows(batch, "counts"):
+            if pair != now and size >= 200_000:
+                yield top(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting, size = [], 0
+            waiting.append((codes, counts.astype(np.int64)))
+            size += len(codes)
+            now = pair
+    if waiting:
+        yield top(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
 
 class Scorer:
@@ -327,49 +427,88 @@ def shallow_of(up: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.nd
     return shallow[::-1]
 
 
+ANSWERS = "chunk long, pair int, size long, codes binary, logs binary"
+
+
+def answered(batches: Iterator[pa.RecordBatch], shallow: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Packed log probabilities of the rows with a chunk. Rows are sorted by pair, counted ones (without a chunk) first."""
+    counted, size, asked, n, model, now = [], 0, [], 0, None, None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal counted, asked, n, model
+        if not asked:
+            return
+        if model is None:  # whatever is asked, its pair's counts are all here
+            nodes = list(built(*(np.concatenate(x) for x in zip(_no_codes(), *counted, strict=True))))
+            model = Model(shallow, {d: keys for d, keys, *_ in nodes}, {d: values[1:] for d, _, _, _, values in nodes})
+            counted = []
+        distinct, back = np.unique(np.concatenate([codes for *_, codes in asked]), return_inverse=True)
+        logs = model.evaluate(distinct)[back].view(np.uint64)
+        ends = np.cumsum([0, *(len(codes) for *_, codes in asked)]).tolist()
+        chunk, pair, blob, _ = zip(*asked, strict=True)
+        yield batch_of(
+            ANSWERS,
+            len(asked),
+            chunk=pa.array(chunk, pa.int64()),
+            pair=pa.array(pair, pa.int32()),
+            size=pa.array(np.diff(ends)),
+            codes=pa.array(blob, pa.binary()),
+            logs=pa.array([packed(logs[a:b]) for a, b in pairwise(ends)], pa.binary()),
+        )
+        asked, n = [], 0
+
+    for batch in pieces(batches):
+        chunks, blobs = batch.column("chunk").to_pylist(), batch.column("codes").to_pylist()
+        for chunk, blob, (pair, codes, counts) in zip(chunks, blobs, unpacked_rows(batch, "counts"), strict=True):
+            if chunk is None:
+                if pair != now and (model is not None or size >= PART):
+                    yield from flush()
+                    counted, size, model = [], 0, None
+                counted.append((codes, counts.astype(np.int64)))
+                size += len(codes)
+            else:
+                asked.append((chunk, pair, blob, codes))
+                n += len(codes)
+                if n >= ASKED:
+                    yield from flush()
+            now = pair
+    yield from flush()
+
+
 class Trained:
-    """The written counts (code, n) of all training sequences, and depths 0 and 1."""
+    """The written counts (packed rows) of all training sequences, and depths 0 and 1."""
 
     def __init__(self, grams: DataFrame) -> None:
-        self.grams, self.pair = grams, F.shiftright("code", 8 * (DEPTH - 1))
-        self.parts = max(2 * grams.sparkSession.sparkContext.defaultParallelism, grams.count() // PART + 1)
-        top = grams.repartition(self.parts, self.pair).sortWithinPartitions("code").mapInArrow(tops, TOP_SCHEMA)
+        self.grams = grams
+        self.parts = max(2 * grams.sparkSession.sparkContext.defaultParallelism, codes_in(grams) // PART + 1)
+        top = grams.repartition(self.parts, "pair").sortWithinPartitions("pair").mapInArrow(tops, TOP_SCHEMA)
         top = top.groupBy("up").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "pw"))).toArrow()
         self.shallow = shallow_of(*(top.column(c).to_numpy() for c in ("up", "zeros", "ones", "pw")))
 
     def answers(self, wanted: DataFrame) -> DataFrame:
-        """(chunk, code, log) for rows (chunk, code)."""
+        """Packed rows with logs for packed rows (chunk, pair, size, codes)."""
         shared = wanted.sparkSession.sparkContext.broadcast(self.shallow)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counted, model = [_no_codes()], None
-            for batch in batches:
-                asked = batch.num_rows - batch.column("chunk").null_count
-                if asked < batch.num_rows:  # these are sorted first
-                    part = batch.slice(0, batch.num_rows - asked)
-                    counted.append((column(part, "code").astype(np.uint64), column(part, "n").astype(np.int64)))
-                if not asked:
-                    continue
-                if model is None:
-                    nodes = list(built(*(np.concatenate(x) for x in zip(*counted, strict=True))))
-                    model = Model(shared.value, {d: keys for d, keys, *_ in nodes}, {d: values[1:] for d, _, _, _, values in nodes})
-                    del nodes, counted
-                    counted = []
-                part = batch.slice(batch.num_rows - asked)
-                codes, back = np.unique(column(part, "code").astype(np.uint64), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([part.column("chunk"), part.column("code"), pa.array(model.evaluate(codes)[back])], ["chunk", "code", "log"])
-
-        rows = self.grams.select(F.lit(None).cast("long").alias("chunk"), "code", "n").unionAll(wanted.select("chunk", "code", F.lit(None).cast("long").alias("n")))
-        rows = rows.repartition(self.parts, self.pair).sortWithinPartitions(F.col("n").isNull(), "code")
-        return rows.mapInArrow(run, "chunk long, code long, log double")
+        rows = self.grams.select(F.lit(None).cast("long").alias("chunk"), "pair", "size", "codes", "counts")
+        rows = rows.unionAll(wanted.select("chunk", "pair", "size", "codes", F.lit(None).cast("binary").alias("counts")))
+        rows = rows.repartition(self.parts, "pair").sortWithinPartitions("pair", F.col("chunk").isNotNull())
+        return rows.mapInArrow(lambda batches: answered(batches, shared.value), ANSWERS)
 
     def evaluate(self, codes: np.ndarray) -> np.ndarray:
         """log10 probabilities of distinct codes."""
-        rows = self.grams.sparkSession.createDataFrame([(0, int(x)) for x in codes], "chunk long, code long")
-        found = {r.code: r.log for r in self.answers(rows).collect()}
+        rows = packed_rows("chunk long, pair int, size long, codes binary", np.sort(codes), chunk=0).to_pylist()
+        rows = self.grams.sparkSession.createDataFrame([tuple(r.values()) for r in rows], "chunk long, pair int, size long, codes binary")
+        found = {}
+        for batch in self.answers(rows).toArrow().to_batches():
+            for _, known, logs in unpacked_rows(batch, "logs"):
+                found |= zip(known.tolist(), logs.view(np.float64).tolist(), strict=True)
         return np.array([found[int(x)] for x in codes])
 
 
+def codes_in(rows: DataFrame) -> int:
+    """Codes in packed rows."""
+    return rows.agg(F.sum("size")).first()[0] or 0
+
+
 # -- scoring ----------------------------------------------------------------
 
 
@@ -393,48 +532,18 @@ def head_of(counts: DataFrame, head: int = HEAD) -> tuple[int, int, dict[bytes,
     return sum(r.n for r in steps), sum(r.v for r in steps), {bytes(r["token"]): r["n"] for r in rows}
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Trained]:
-    """Token counts (token, n) of training documents, and the model."""
-    part = materialize(partial_counts(docs), "partial-counts")
-    counts = materialize(part.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
-    grams = materialize(part.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    done_with(part)
+def learned(chunks: DataFrame) -> tuple[DataFrame, Trained]:
+    """Token counts (token, n) of training documents, and the model, from written CHUNKED."""
+    counts = materialize(chunks.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
+    codes = chunks.where("pair is not null").select("pair", "size", "codes", "counts")
+    parts = max(2 * chunks.sparkSession.sparkContext.defaultParallelism, codes_in(codes) // SUMMED + 1)
+    grams = materialize(codes.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(summed, GRAMS), "grams", **WRITTEN)
     return counts, Trained(grams)
 
 
-CHUNKED = "chunk long, code long, key long, doc_id long, text binary"
-
-
-def chunked(docs: DataFrame, chunk_mb: float) -> DataFrame:
-    """Rows (chunk, key, doc_id, text) of documents, and rows (chunk, code) of each chunk's distinct codes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = chunk = TaskContext.get().partitionId() << 40
-        names = [x.split()[0] for x in CHUNKED.split(", ")]
-        codes, waiting, size = _no_codes(), [], 0
-
-        def asked() -> pa.RecordBatch:
-            found, n = _merged(codes, waiting)[0], pa.nulls
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found.astype(np.int64)), n(len(found), pa.int64()), n(len(found), pa.int64()), n(len(found), pa.binary())], names)
-
-        for batch in pieces(batches):
-            bodies = raw(batch.column(1))
-            n = len(bodies)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.array(np.arange(key, key + n)), batch.column(0), pa.array(bodies, pa.binary())], names)
-            key += n
-            for text in bodies:
-                for x in contexts(text):
-                    waiting.append(_distinct(x, None) if len(x) >= CHUNK else (x, None))
-                if sum(len(x) for x, _ in waiting) >= CHUNK:
-                    codes, waiting = _merged(codes, waiting), []
-                size += len(text)
-            if size >= chunk_mb * 1e6:
-                yield asked()
-                chunk, codes, waiting, size = key, _no_codes(), [], 0
-        if size:
-            yield asked()
-
-    return texts(docs).mapInArrow(run, CHUNKED)
+def train(docs: DataFrame) -> tuple[DataFrame, Trained]:
+    """Token counts and the model of documents."""
+    return learned(materialize(chunked(docs, CHUNK_MB), "chunks", **WRITTEN))
 
 
 def same_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,20 +553,45 @@ def same_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero((chunk[1:] != chunk[:-1]) | (text[1:] != text[:-1])) + 1
         for a, b in pairwise([0, *edges.tolist(), batch.num_rows]):
             if b > a:
-                part = batch.slice(a, b - a)
-                yield from pieces([part]) if text[a] else [part]
+                yield batch.slice(a, b - a)
+
+
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, tail array<struct<token: binary, times: long>>"
+
+
+def scored_texts(key: int, doc_ids: list[int | None], bodies: list[bytes], model: Scorer, logs: dict[bytes, float]) -> pa.RecordBatch:
+    """SCORED of texts with keys from ``key`` on; tail: the tokens that logs doesn't have."""
+    rows, tokens, times, ends = [], [], [], [0]
+    for key, doc_id, text, log10 in zip(count(key), doc_ids, bodies, model.scores(bodies)):
+        own = Counter(text.translate(LOWER).split())
+        own[END] += 1
+        n, known, base = own.total(), 0, 0.0
+        for token, times_ in own.items():
+            if (log := logs.get(token)) is not None:
+                known += times_
+                base += times_ * log
+            else:
+                tokens.append(token)
+                times.append(times_)
+        ends.append(len(tokens))
+        rows.append((key, doc_id, held_out(doc_id), n, known, base, log10, len(text)))
+    tail = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "times"])
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    names = ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail"]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], names)
 
 
 def score(docs: DataFrame, head: int = HEAD, chunk_mb: float = CHUNK_MB) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte: a row for each of docs."""
     spark = docs.sparkSession
-    counts, model = train(docs)
+    chunks = materialize(chunked(docs, chunk_mb), "chunks", **WRITTEN)
+    counts, model = learned(chunks)
     total, distinct, common = head_of(counts, head)
     shared = spark.sparkContext.broadcast(common)
-    chunks = materialize(chunked(docs, chunk_mb), "chunks")
-    bodies_of = chunks.where("key is not null").select("chunk", "code", F.lit(None).cast("double").alias("log"), "key", "doc_id", "text")
-    answers = model.answers(chunks.where("key is null").select("chunk", "code"))
-    answers = answers.select("chunk", "code", "log", *(F.lit(None).cast(k).alias(c) for c, k in (("key", "long"), ("doc_id", "long"), ("text", "binary"))))
+    bodies_of = chunks.where("key is not null").select("chunk", "pair", "size", "codes", F.lit(None).cast("binary").alias("logs"), "key", "texts")
+    answers = model.answers(chunks.where("pair is not null"))
+    answers = answers.select("chunk", "pair", "size", "codes", "logs", F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("texts"))
     parts = max(2 * spark.sparkContext.defaultParallelism, 4 * chunks.agg(F.count_distinct("chunk")).first()[0])
     together = answers.unionAll(bodies_of).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("key").isNotNull())
 
@@ -469,35 +603,17 @@ def score(docs: DataFrame, head: int = HEAD, chunk_mb: float = CHUNK_MB) -> Data
             if batch.column("chunk")[0].as_py() != now:
                 now, codes, values, model = batch.column("chunk")[0].as_py(), [], [], None
             if batch.column("key").null_count:
-                codes.append(column(batch, "code").astype(np.uint64))
-                values.append(column(batch, "log"))
+                for _, found, log in unpacked_rows(batch, "logs"):
+                    codes.append(found)
+                    values.append(log.view(np.float64))
                 continue
             if model is None:
                 model = Answers(np.concatenate([_no_codes()[0], *codes]), np.concatenate([np.empty(0), *values]))
                 codes, values = [], []
-            rows, tokens, times, ends = [], [], [], [0]
-            bodies = batch.column("text").to_pylist()
-            for key, doc_id, text, log10 in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), bodies, model.scores(bodies), strict=True):
-                own = Counter(text.translate(LOWER).split())
-                own[END] += 1
-                n, known, base = own.total(), 0, 0.0
-                for token, times_ in own.items():
-                    if (log := logs.get(token)) is not None:
-                        known += times_
-                        base += times_ * log
-                    else:
-                        tokens.append(token)
-                        times.append(times_)
-                ends.append(len(tokens))
-                rows.append((key, doc_id, held_out(doc_id), n, known, base, log10, len(text)))
-            tail = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "times"])
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], names)
+            for first, blob in zip(batch.column("key").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+                yield scored_texts(first, *decompressed(blob), model, logs)
 
-    names = ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail"]
-    schema = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, tail array<struct<token: binary, times: long>>"
-    scored = materialize(together.mapInArrow(run, schema), "scored")
+    scored = materialize(together.mapInArrow(run, SCORED), "scored")
     done_with(chunks)
     tail = scored.select("key", F.explode("tail").alias("t")).select("key", "t.token", "t.times")
     tail = tail.join(counts, "token", "left").groupBy("key").agg(

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmill.llm import ctw
@@ -134,3 +135,55 @@ def test_no_node_is_lost(spark):
         assert len(rows) == len(texts)
         for r in rows:
             assert r.score == pytest.approx(brute.score(texts[r.doc_id].encode()), rel=1e-9)
+
+
+def test_rows_that_move_are_packed(spark):
+    """A row for each pair of nearest bytes in a chunk, not for each sequence: memory of executors depends on it."""
+    text = np.random.default_rng(3).integers(97, 113, 40_000).astype(np.uint8).tobytes()
+    distinct = len(np.unique(np.concatenate(list(ctw.contexts(text)))))
+    docs = spark.createDataFrame([(0, text.decode())], "doc_id long, text string").coalesce(1)
+    assert ctw.chunked(docs, ctw.CHUNK_MB).where("key is null").count() < distinct / 50
+
+
+def test_sizes_of_packed_rows_and_groups_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    trained, other = (rng.integers(97, 97 + n, 3000).astype(np.uint8).tobytes() for n in (4, 6))
+    codes, counts = np.unique(np.concatenate(list(ctw.contexts(trained))), return_counts=True)
+    wanted = {chunk: np.unique(np.concatenate(list(ctw.contexts(x)))) for chunk, x in enumerate((trained, other, b"q"))}
+    schema = "chunk long, pair int, size long, codes binary, counts binary"
+
+    def answers():
+        unseen = np.setdiff1d(wanted[1], codes)
+        part = [ctw.packed_rows(schema, codes, counts), ctw.packed_rows(schema, unseen, np.zeros(len(unseen), np.int64)), ctw.packed_rows(schema, codes, counts)]
+        grams = pa.Table.from_batches(ctw.summed(pa.Table.from_batches(part).sort_by("pair").to_batches()))
+        found = [x for batch in grams.to_batches() for x in ctw.unpacked_rows(batch, "counts")]
+        assert max(len(x) for _, x, _ in found) <= ctw.BLOB
+        assert (np.concatenate([x for _, x, _ in found]) == codes).all() and (np.concatenate([n for *_, n in found]) == 2 * counts).all()
+        top = pa.Table.from_batches(ctw.tops(grams.to_batches()))
+        shallow = ctw.shallow_of(*(top.column(c).to_numpy() for c in ("up", "zeros", "ones", "pw")))
+        rows = [ctw.batch_of(schema, x.num_rows, **{c: x.column(c) for c in grams.column_names}) for x in grams.to_batches()]
+        rows = pa.Table.from_batches([*rows, *(ctw.packed_rows(schema, x, chunk=chunk) for chunk, x in wanted.items())])
+        rows = rows.sort_by([("pair", "ascending"), ("counts", "descending")])  # nulls, the asked ones, come last
+        out = {}
+        for batch in ctw.answered(rows.to_batches(), shallow):
+            for chunk, (_, x, logs) in zip(batch.column("chunk").to_pylist(), ctw.unpacked_rows(batch, "logs"), strict=True):
+                out |= {(chunk, int(c)): log for c, log in zip(x, logs.view(np.float64), strict=True)}
+        return out
+
+    whole = answers()
+    assert whole.keys() == {(chunk, int(c)) for chunk, x in wanted.items() for c in x}
+    brute = Brute([trained, trained])
+    for chunk, text in enumerate((trained, other, b"q")):
+        assert sum(whole[chunk, int(c)] for x in ctw.contexts(text) for c in x) == pytest.approx(brute.score(text), rel=1e-9)
+    for blob, chunk, part, asked in ((3, 50, 40, 30), (1, 1, 1, 1), (7, 10**6, 200, 10**6)):
+        for name, value in (("BLOB", blob), ("CHUNK", chunk), ("PART", part), ("ASKED", asked)):
+            monkeypatch.setattr(ctw, name, value)
+        found = answers()
+        assert found.keys() == whole.keys() and all(found[k] == pytest.approx(whole[k], rel=1e-12) for k in whole)
+
+
+def test_packed_numbers():
+    for x in ([0], [255, 0, 256], [2**32 - 1, 5], [2**64 - 1, 0, 1]):
+        x = np.array(x, np.uint64)
+        assert (ctw.unpacked(ctw.packed(x), len(x)) == x).all()
+    assert len(ctw.packed(np.array([255, 0], np.uint64))) == 2
