@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import search
+from corpusmill.operators import dedup, search
 
 
 def rows_of(spark, texts):
@@ -47,3 +47,54 @@ def test_blocks_of_questions_and_batches(spark, monkeypatch):
         want = sorted(range(n), key=lambda i: (-round(score[i], 8), i))[:5]
         got = sorted((r["rank"], r.doc_id, r.score) for r in found if r.query_id == q)
         assert [d for _, d, _ in got] == want and [s for *_, s in got] == pytest.approx([score[d] for d in want], abs=1e-7)
+
+
+def brute_pairs(texts, threshold):
+    docs = {}
+    for i, t in enumerate(texts):
+        docs.setdefault(t, i)
+    bags = {i: Counter(t.split()) for t, i in docs.items()}
+    copies = {i: texts.count(t) for t, i in docs.items()}
+    df = Counter()
+    for i, bag in bags.items():
+        for w in bag:
+            df[w] += copies[i]
+    vectors = {}
+    for i, bag in bags.items():
+        v = {w: c * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, c in bag.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        vectors[i] = {w: x / length for w, x in v.items()}
+    cosine = {(a, b): round(sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items()), 6) for a in vectors for b in vectors if a < b}
+    return {k: v for k, v in cosine.items() if v > threshold}
+
+
+@pytest.mark.parametrize("keyed, block", [(32, 3_000_000), (4, 300)])
+def test_similar_pairs_by_all_ways(spark, monkeypatch, keyed, block):
+    """Short and long documents, near copies of both, single words, copies: whichever way two documents meet."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{int(x)}" for x in rng.zipf(1.25, n) % 4000]
+    texts = [" ".join(word(int(n))) for n in rng.integers(3, 60, 50)] + [" ".join(word(400)) for _ in range(12)]
+    for t in list(texts[::3]):
+        ws = t.split()
+        for _ in range(int(rng.integers(1, 4))):
+            ws[int(rng.integers(len(ws)))] = word(1)[0]
+        texts += [" ".join(ws), t]
+    texts += ["solo", "solo solo", "solo mono", "", "w1", "w1 w1 w2"]
+    monkeypatch.setattr(dedup, "KEYED", keyed)
+    monkeypatch.setattr(dedup, "BLOCK_TERMS", block)
+    monkeypatch.setattr(dedup, "CELLS", 40)
+    monkeypatch.setattr(dedup, "STEP", 50)
+    monkeypatch.setattr(dedup, "BATCH_WORDS", 500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {(r.a, r.b): r.cosine for r in dedup.similar_pairs(dedup.representatives(docs), 0.9).collect()}
+    want = brute_pairs(texts, 0.9)
+    assert found.keys() == want.keys() and len(want) > 15
+    assert [found[k] for k in sorted(found)] == pytest.approx([want[k] for k in sorted(want)], abs=2e-6)
+
+
+def test_one_common_prefix_term_makes_no_candidates(spark):
+    """Sixty texts that share a rare word and nothing else: a pair of each two of them before."""
+    texts = [" ".join(["shared", *(f"x{i}y{j}" for j in range(30)), *(f"x{i // 2}z{j}" for j in range(5))]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = dedup.weights(dedup.representatives(docs)).select("doc_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"), "dfs", "shared", "weights")
+    assert dedup.candidates(hashed, 0.95).count() <= 30
