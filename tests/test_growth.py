@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import dedup, search
+from corpusmill.operators import chunking, dedup, groundtruth, models, search
+from corpusmill.sources.tables import documents
 
 
 def rows_of(spark, texts):
@@ -98,3 +99,31 @@ def test_one_common_prefix_term_makes_no_candidates(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     hashed = dedup.weights(dedup.representatives(docs)).select("doc_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"), "dfs", "shared", "weights")
     assert dedup.candidates(hashed, 0.95).count() <= 30
+
+
+def test_snippets_are_looked_for_beside_their_texts(spark, sf):
+    docs = documents(spark, sf)
+    names = ["line_n_merge", "len_500_o50", "para_nn_merge"]
+    found = groundtruth.in_every_chunking(docs, names)
+    assert "Join" not in logical(found)
+    want = groundtruth.in_every_strategy(groundtruth.snippets(docs), chunking.chunk(docs, names), 3)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in want.collect()) != []
+
+
+def test_named_chunks_are_fetched_without_a_shuffle_of_texts(spark, monkeypatch):
+    chunks = rows_of(spark, ["aa", "bb", "cc", "dd"])
+    keys = spark.createDataFrame([(1, 0), (1, 0), (3, 0), (9, 0)], "doc_id long, pos int")
+    monkeypatch.setattr(search, "WANTED", 3)
+    few = search.fetched(keys, chunks)
+    assert sorted(r.text for r in few.collect()) == ["bb", "dd"]
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "WANTED", 2)
+    assert sorted(r.text for r in search.fetched(keys, chunks).collect()) == ["aa", "bb", "cc", "dd"]
+
+
+def test_embedder_forgets_places_and_gives_the_same_vectors(monkeypatch):
+    texts = [" ".join(f"w{i * j % 97}" for j in range(40)) for i in range(20)]
+    want = models.HashingEmbedder().embed(texts)
+    monkeypatch.setattr(models, "PLACES", 16)
+    small = models.HashingEmbedder()
+    assert (small.embed(texts) == want).all() and len(small.places) <= 16
