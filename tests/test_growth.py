@@ -127,3 +127,10 @@ def test_embedder_forgets_places_and_gives_the_same_vectors(monkeypatch):
     monkeypatch.setattr(models, "PLACES", 16)
     small = models.HashingEmbedder()
     assert (small.embed(texts) == want).all() and len(small.places) <= 16
+
+
+def test_chunks_that_can_have_a_snippet(spark):
+    docs = spark.createDataFrame([(1, "ONE Kettle\n\ntwo", "a kettle, é"), (2, "é\n\nü", "é ü"), (3, "xx\n\nyy", None)], "doc_id long, text string, s string")
+    spec = chunking.ChunkSpec("p", lambda text: text.split("\n\n"), ())
+    found = chunking.chunk(docs, [spec], ("s",), having="s").orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.pos, r.text) for r in found] == [(1, 0, "ONE Kettle"), (2, 0, "é"), (2, 1, "ü"), (3, 0, "xx"), (3, 1, "yy")]
